@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
-
-# Executors may run without this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def queries() -> dict:
-    from . import fingerprints, url_filter
+    from . import fingerprints, golay_dedup, langid, quality, secrets, url_filter
 
     return {
+        "op3_golay_dedup": golay_dedup.op3_golay_dedup,
+        "op4_secrets": secrets.op4_secrets,
         "op6_fingerprints": fingerprints.op6_fingerprints,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_quality": quality.op8_quality,
+        "op9_langid": langid.op9_langid,
     }
 
 
