@@ -214,12 +214,16 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in indexes(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def free(t: pd.Series, sent=sent) -> pd.Series:
-            return t.map(lambda x: not (isinstance(x, str) and sent.value.leaks(x))).astype(bool)
-
-        docs = docs.where(F.pandas_udf(free, "boolean")("text"))
+        docs = docs.where(_free_of(sent)("text"))
     return docs
 
 
+def _free_of(sent):
+    def free(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: not (isinstance(x, str) and sent.value.leaks(x))).astype(bool)
+
+    return F.pandas_udf(free, "boolean")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
