@@ -77,7 +77,7 @@ def _channel_cte(ch: blocking.Channel, i: int) -> str:
         tok = "(SELECT DISTINCT entity_id, src, country_norm, token FROM (SELECT entity_id, src, country_norm, unnest(name_tokens) AS token FROM norm) WHERE length(token) > 1)"
         if ch.rarest:
             df = f"(SELECT country_norm, token, count(*) AS df FROM {tok} WHERE src <> 1 GROUP BY ALL)"
-            tok = f"(SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY entity_id ORDER BY coalesce(df, 1), t.token) AS at FROM {tok} t LEFT JOIN {df} d USING (country_norm, token)) WHERE at <= {ch.rarest})"
+            tok = f"(SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY entity_id ORDER BY coalesce(df, 1), t.token) AS pos FROM {tok} t LEFT JOIN {df} d USING (country_norm, token)) WHERE pos <= {ch.rarest})"
         source = f"(SELECT x.entity_id, x.src, x.country_norm, x.token || '|' || y.token AS token FROM {tok} x JOIN {tok} y ON x.entity_id = y.entity_id AND x.token < y.token)"
     k = f"k{i} AS MATERIALIZED (SELECT entity_id, src, {keys} FROM {source} WHERE {filled})"
     cap = ""
@@ -211,8 +211,8 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     q["truth_links"] = (truth, sql("SELECT * FROM truth"))
     q["sorted_neighbourhood"] = (
         lambda s, d: blocking.sorted_neighbourhood(normal(s, d)),
-        sql(f"SELECT DISTINCT CASE WHEN a.src = 1 THEN a.entity_id ELSE b.entity_id END AS {S1}, CASE WHEN a.src = 1 THEN b.entity_id ELSE a.entity_id END AS {C} FROM o a JOIN o b ON a.country_norm = b.country_norm AND a.block = b.block AND b.at BETWEEN a.at + 1 AND a.at + 5 WHERE (a.src = 1) <> (b.src = 1)",
-            "o AS (SELECT *, row_number() OVER (PARTITION BY country_norm, block ORDER BY name_sorted, entity_id) AS at FROM (SELECT *, substr(name_sorted, 1, 2) AS block FROM norm WHERE name_sorted <> ''))"),
+        sql(f"SELECT DISTINCT CASE WHEN a.src = 1 THEN a.entity_id ELSE b.entity_id END AS {S1}, CASE WHEN a.src = 1 THEN b.entity_id ELSE a.entity_id END AS {C} FROM o a JOIN o b ON a.country_norm = b.country_norm AND a.block = b.block AND b.pos BETWEEN a.pos + 1 AND a.pos + 5 WHERE (a.src = 1) <> (b.src = 1)",
+            "o AS (SELECT *, row_number() OVER (PARTITION BY country_norm, block ORDER BY name_sorted, entity_id) AS pos FROM (SELECT *, substr(name_sorted, 1, 2) AS block FROM norm WHERE name_sorted <> ''))"),
     )
     six = lambda c: F.round(c, 6).alias(c)
     q["features"] = (
@@ -245,7 +245,7 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     q["best_owner"] = (lambda s, d: decision.best_owner(decision.accepted(scored(s, d), AT)).select(S1, C, "score"), sql(f"SELECT {S1}, {C}, score FROM best", LINKED, _OWN))
     q["clear_winners"] = (
         lambda s, d: decision.clear_winners(scored(s, d)).select(S1, C),
-        sql(f"SELECT {S1}, {C} FROM (SELECT {S1}, {C}, score, row_number() OVER w AS at, lead(score) OVER w AS nxt FROM scored WINDOW w AS (PARTITION BY {S1} ORDER BY score DESC, {C})) WHERE at = 1 AND score - coalesce(nxt, 0) >= 0.1::DOUBLE", LINKED),
+        sql(f"SELECT {S1}, {C} FROM (SELECT {S1}, {C}, score, row_number() OVER w AS pos, lead(score) OVER w AS nxt FROM scored WINDOW w AS (PARTITION BY {S1} ORDER BY score DESC, {C})) WHERE pos = 1 AND score - coalesce(nxt, 0) >= 0.1::DOUBLE", LINKED),
     )
     q["threshold_sweep"] = (
         lambda s, d: decision.sweep(_ids(s, d), truth(s, d), scored(s, d)),
@@ -267,7 +267,7 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     )
     q["top_k_recall"] = (
         lambda s, d: decision.top_k(truth(s, d), scored(s, d)),
-        sql(f"SELECT k, round(avg(CASE WHEN f <= k THEN 1.0::DOUBLE ELSE 0 END), 6) AS any_recall, round(avg(CASE WHEN l <= k THEN 1.0::DOUBLE ELSE 0 END), 6) AS all_recall FROM (SELECT {S1}, min(at) AS f, max(coalesce(at, 1 << 30)) AS l FROM truth LEFT JOIN (SELECT {S1}, {C}, row_number() OVER (PARTITION BY {S1} ORDER BY score DESC, {C}) AS at FROM scored) USING ({S1}, {C}) GROUP BY 1), (SELECT CAST(unnest([1, 2, 3, 5, 10, 20, 50, 100]) AS INT) AS k) GROUP BY k", LINKED),
+        sql(f"SELECT k, round(avg(CASE WHEN f <= k THEN 1.0::DOUBLE ELSE 0 END), 6) AS any_recall, round(avg(CASE WHEN l <= k THEN 1.0::DOUBLE ELSE 0 END), 6) AS all_recall FROM (SELECT {S1}, min(pos) AS f, max(coalesce(pos, 1 << 30)) AS l FROM truth LEFT JOIN (SELECT {S1}, {C}, row_number() OVER (PARTITION BY {S1} ORDER BY score DESC, {C}) AS pos FROM scored) USING ({S1}, {C}) GROUP BY 1), (SELECT CAST(unnest([1, 2, 3, 5, 10, 20, 50, 100]) AS INT) AS k) GROUP BY k", LINKED),
     )
     cols = ("entity_id", "business_name", "business_address", "country")
     q["check_source"] = (
