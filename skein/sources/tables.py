@@ -55,4 +55,4 @@ def head(df: DataFrame, n: int, key: str = "entity_id") -> DataFrame:
 
 def id_list(c) -> Column:
     """A comma-joined list of ids as an array, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
