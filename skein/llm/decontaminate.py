@@ -19,6 +19,8 @@ TOKEN = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: BM25's constants; the share of an item's own score that retrieves it; postings of a block.
 K1, B, RETRIEVE, BLOCK = 1.2, 0.75, 0.5, 64
+#: Items of a zone, whose maxima rule out most passages before any cursor moves; words of a step of that.
+ZONE, STEP = 4, 1 << 15
 #: Words of a shingle, the share of an item's shingles that a passage must hold, and of its answer's words.
 WIDTH, OVERLAP, ANSWER = 5, 0.8, 0.8
 #: Characters of test items in one index; more items are searched in several passes over the documents.
@@ -53,6 +55,10 @@ class Index:
     most: np.ndarray = field(default_factory=lambda: np.zeros(1))
     grams: list[set] = field(default_factory=list)
     span: int = 32
+    zones: int = 1
+    cells: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    peaks: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
     @classmethod
     def build(cls, items: list[tuple[object, list[str], list[str]]]) -> Index:
@@ -75,12 +81,20 @@ class Index:
             self.shares.append(np.array([x[1] for x in p]))
             self.block.append(np.maximum.reduceat(self.shares[-1], np.arange(0, len(p), BLOCK)))
         self.most = np.array([b.max() for b in self.block] + [0.0])  # the last is for words of no item
+        # A term's cells are term * zones + zone, in order, each with the term's greatest share in the zone.
+        self.zones = max(1, -(-n // ZONE))
+        sizes = [len(p) for p in self.posts]
+        if sizes:
+            cell = np.repeat(np.arange(len(sizes)), sizes) * self.zones + np.concatenate(self.posts) // ZONE
+            cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            self.cells, self.peaks = cell[cut], np.maximum.reduceat(np.concatenate(self.shares), cut)
+        self.first = np.searchsorted(self.cells, np.arange(len(sizes) + 1) * self.zones)
         self.grams = [shingles(q + a) for _, q, a in self.items]
         self.span = max(32, int(size.max())) if len(size) else 32
         return self
 
-    def wand(self, terms: list[int], least: float) -> list[tuple[int, float]]:
-        """All (item, score) of at least `least` for a query of distinct terms.
+    def wand(self, terms: list[int], least: float, zones: list[int] | None = None) -> list[tuple[int, float]]:
+        """All (item, score) of at least `least` for a query of distinct terms, in the given zones alone if there are any.
 
         Cursors stand in order of their item. The pivot is the first where the terms' maxima reach
         `least`; if the maxima of the blocks at the pivot don't, the cursors move past the nearest
@@ -101,14 +115,24 @@ class Index:
             while p + 1 < len(at) and at[p + 1][0] == pivot:
                 p += 1
             held, ends = 0.0, []
-            for _, i, t in at[: p + 1]:
+            dead = None
+            if zones is not None:
+                while zones and zones[0] < pivot // ZONE:
+                    zones = zones[1:]
+                if not zones:
+                    return found
+                if zones[0] > pivot // ZONE:
+                    p, dead = len(at) - 1, zones[0] * ZONE
+            for _, i, t in at[: p + 1] if dead is None else ():
                 posts = self.posts[t]
-                j = i + int(np.searchsorted(posts[i:], pivot)) if posts[i] < pivot else i
+                j = i + int(posts[i:].searchsorted(pivot)) if posts[i] < pivot else i
                 b = j // BLOCK
                 if b < len(self.block[t]):
                     held += self.block[t][b]
                     ends.append(int(posts[min((b + 1) * BLOCK, len(posts)) - 1]))
-            if held < least:
+            if dead is not None:
+                to = dead
+            elif held < least:
                 # No item up to the nearest block's end, or before the next cursor, can score enough.
                 to = max(pivot + 1, min([*(e + 1 for e in ends), *(x[0] for x in at[p + 1 : p + 2])]))
             elif at[0][0] == pivot:
@@ -122,7 +146,7 @@ class Index:
             for x in at[: p + 1]:
                 if x[0] < to:
                     posts = self.posts[x[2]]
-                    x[1] += int(np.searchsorted(posts[x[1] :], to))
+                    x[1] += int(posts[x[1] :].searchsorted(to))
                     if x[1] == len(posts):
                         continue
                     x[0] = int(posts[x[1]])
@@ -130,6 +154,40 @@ class Index:
             at = moved + at[p + 1 :]
         return found
 
+    def live(self, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, list[int]]]:
+        """(passage, zones) of the passages ids[start:end] where the terms' maxima in a zone reach RETRIEVE; no other can hold an item.
+
+        As at WAND's pivot, the terms of least maxima that stay below RETRIEVE together can't retrieve
+        an item alone: only zones of the other terms are looked at, and the lesser ones are added there.
+        """
+        size = end - start
+        before = np.cumsum(size) - size
+        p = np.repeat(np.arange(len(start)), size)
+        t = ids[np.arange(len(p)) + (start - before)[p]]
+        p, t = np.divmod(np.unique((p * len(self.posts) + t)[t >= 0]), len(self.posts))
+        order = np.lexsort((self.most[t], p))
+        t = t[order]  # p is in order as it is
+        low = np.searchsorted(p, np.arange(len(start) + 1))
+        sums = np.r_[0.0, np.cumsum(self.most[t])]
+        strong = sums[1:] - sums[low[p]] >= RETRIEVE - 1e-9
+        ends = low[:-1] + np.bincount(p[~strong], minlength=len(start))  # of the lesser terms
+        rest = sums[ends] - sums[low[:-1]]
+        n = (self.first[t + 1] - self.first[t]) * strong
+        at = np.arange(n.sum()) + np.repeat(self.first[t] - (np.cumsum(n) - n), n)
+        pair, of = np.unique(np.repeat(p, n) * self.zones + self.cells[at] % self.zones, return_inverse=True)
+        held = np.bincount(of, self.peaks[at], len(pair))
+        p, zone = np.divmod(pair, self.zones)
+        near = held + rest[p] >= RETRIEVE - 1e-9
+        p, zone, held = p[near], zone[near], held[near]
+        n = ends[p] - low[p]
+        row = np.repeat(np.arange(len(p)), n)
+        cell = t[np.arange(len(row)) + (low[p] - (np.cumsum(n) - n))[row]] * self.zones + zone[row]
+        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        held += np.bincount(row, np.where(self.cells[at] == cell, self.peaks[at], 0.0), len(p))
+        near = held >= RETRIEVE - 1e-9
+        p, at = np.unique(p[near], return_index=True)
+        return [(i, z.tolist()) for i, z in zip(p.tolist(), np.split(zone[near], at[1:]))]
+
     def search(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """For each item found in a passage of the text: the best (overlap, answer's overlap, score).
 
@@ -144,12 +202,17 @@ class Index:
         start = np.arange(0, max(1, len(words) - self.span), self.span)
         end = np.minimum(start + 2 * self.span, len(words))
         best: dict[int, tuple[float, float, float]] = {}
-        for s, e in zip(start[live := total[end] - total[start] >= RETRIEVE], end[live]):
+        some = total[end] - total[start] >= RETRIEVE
+        start, end = start[some], end[some]
+        each = max(1, STEP // (2 * self.span))
+        live = ((i + j, z) for i in range(0, len(start), each) for j, z in self.live(ids, start[i : i + each], end[i : i + each]))
+        for i, zones in live:
+            s, e = start[i], end[i]
             terms = np.unique(ids[s:e])
             terms = terms[terms >= 0]
             if self.most[terms].sum() < RETRIEVE:
                 continue
-            hits = self.wand(terms.tolist(), RETRIEVE)
+            hits = self.wand(terms.tolist(), RETRIEVE, zones)
             if not hits:
                 continue
             part = words[s:e]
