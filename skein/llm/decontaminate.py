@@ -19,8 +19,8 @@ TOKEN = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: BM25's constants; the share of an item's own score that retrieves it; postings of a block.
 K1, B, RETRIEVE, BLOCK = 1.2, 0.75, 0.5, 64
-#: Items of a zone, whose maxima rule out most passages before any cursor moves; words of a step of that.
-ZONE, STEP = 4, 1 << 15
+#: Items of a zone, whose maxima rule out most passages before any cursor moves; words of a step of that; cells in a table.
+ZONE, STEP, TABLE = 4, 1 << 15, 1 << 22
 #: Words of a shingle, the share of an item's shingles that a passage must hold, and of its answer's words.
 WIDTH, OVERLAP, ANSWER = 5, 0.8, 0.8
 #: Characters of test items in one index; more items are searched in several passes over the documents.
@@ -59,6 +59,7 @@ class Index:
     cells: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     peaks: np.ndarray = field(default_factory=lambda: np.zeros(0))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    table: np.ndarray | None = None
 
     @classmethod
     def build(cls, items: list[tuple[object, list[str], list[str]]]) -> Index:
@@ -154,6 +155,16 @@ class Index:
             at = moved + at[p + 1 :]
         return found
 
+    def peak(self, cell: np.ndarray) -> np.ndarray:
+        """The greatest share in each cell, 0 in one without postings; by a table of all cells if it is small."""
+        if len(self.posts) * self.zones <= TABLE:
+            if self.table is None:
+                self.table = np.zeros(len(self.posts) * self.zones)
+                self.table[self.cells] = self.peaks
+            return self.table[cell]
+        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        return np.where(self.cells[at] == cell, self.peaks[at], 0.0)
+
     def live(self, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, list[int]]]:
         """(passage, zones) of the passages ids[start:end] where the terms' maxima in a zone reach RETRIEVE; no other can hold an item.
 
@@ -174,16 +185,19 @@ class Index:
         rest = sums[ends] - sums[low[:-1]]
         n = (self.first[t + 1] - self.first[t]) * strong
         at = np.arange(n.sum()) + np.repeat(self.first[t] - (np.cumsum(n) - n), n)
-        pair, of = np.unique(np.repeat(p, n) * self.zones + self.cells[at] % self.zones, return_inverse=True)
-        held = np.bincount(of, self.peaks[at], len(pair))
+        pair = np.repeat(p, n) * self.zones + self.cells[at] % self.zones
+        order = np.argsort(pair, kind="stable")
+        pair, by = pair[order], self.peaks[at][order]
+        cut = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+        held = np.add.reduceat(by, cut) if len(pair) else by
+        pair = pair[cut]
         p, zone = np.divmod(pair, self.zones)
         near = held + rest[p] >= RETRIEVE - 1e-9
         p, zone, held = p[near], zone[near], held[near]
         n = ends[p] - low[p]
         row = np.repeat(np.arange(len(p)), n)
         cell = t[np.arange(len(row)) + (low[p] - (np.cumsum(n) - n))[row]] * self.zones + zone[row]
-        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
-        held += np.bincount(row, np.where(self.cells[at] == cell, self.peaks[at], 0.0), len(p))
+        held += np.bincount(row, self.peak(cell), len(p))
         near = held >= RETRIEVE - 1e-9
         p, at = np.unique(p[near], return_index=True)
         return [(i, z.tolist()) for i, z in zip(p.tolist(), np.split(zone[near], at[1:]))]
