@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.operators import scoring
+
 
 @dataclass(frozen=True)
 class Channel:
@@ -91,6 +93,13 @@ def retrieve(records: DataFrame, channels: list[Channel]) -> DataFrame:
     return merged([pairs(records, c) for c in channels])
 
 
+def retrieve_v4(records: DataFrame) -> DataFrame:
+    """Candidates of all nine channels of the fourth version: V4's keys, trigrams weighted by TF-IDF, and MinHash."""
+    near = (("ngram_tfidf", scoring.tfidf_pairs(records)), ("minhash_lsh", scoring.minhash_pairs(records)))
+    found = [p.select("source1_entity_id", "candidate_entity_id", F.lit(name).alias("channel")) for name, p in near]
+    return merged([pairs(records, c) for c in V4] + found)
+
+
 def merged(found: list[DataFrame]) -> DataFrame:
     every = reduce(DataFrame.unionByName, found)
     out = every.groupBy("source1_entity_id", "candidate_entity_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))

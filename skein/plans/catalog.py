@@ -95,7 +95,7 @@ def _cands(channels: list[blocking.Channel]) -> str:
     return ",\n".join(parts) + f",\ncands AS (SELECT {S1}, {C}, list_sort(list_distinct(list(channel))) AS channels, CAST(count(DISTINCT channel) AS INT) AS num_channels FROM ({union}) GROUP BY ALL)"
 
 
-#: Channels that SQL can express; DuckDB has no soundex.
+#: Channels that SQL can express; DuckDB has no soundex. Queries on these are reduced; blocking.retrieve_v4 has all.
 LINK = [c for c in blocking.V4 if c.name != "phonetic"]
 AT = 0.5
 _SETS = """feat AS (SELECT c.*, CAST(l.name_punct = r.name_punct AS INT) AS exact_name_match, CAST(l.name_legal = r.name_legal AS INT) AS exact_legal_match,
@@ -133,13 +133,17 @@ def _macro(source: str, by: str = "") -> str:
 # ---------------------------------------------------------------- DataFrames
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _reduced(n: DataFrame) -> DataFrame:
+    return blocking.retrieve(n, LINK)
+
+
+def _pairs(spark: SparkSession, d: str, retrieve: Callable[[DataFrame], DataFrame] = _reduced) -> DataFrame:
     n = normal(spark, d)
-    return features.cheap(features.with_records(blocking.retrieve(n, LINK), n))
+    return features.cheap(features.with_records(retrieve(n), n))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).withColumn("score", features.rule_score())
+def scored(spark: SparkSession, d: str, retrieve: Callable[[DataFrame], DataFrame] = _reduced) -> DataFrame:
+    return _pairs(spark, d, retrieve).withColumn("score", features.rule_score())
 
 
 def _ids(spark: SparkSession, d: str) -> DataFrame:
@@ -151,9 +155,9 @@ def _trained(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return scoring.scored(scoring.fit(scoring.training_set(rows), features.CHEAP, kind), rows).select(S1, C, "label", F.round("score", 6).alias("score"))
 
 
-def link_end_to_end(spark: SparkSession, d: str) -> DataFrame:
-    """Retrieve, compare, score, decide, give each candidate one owner, and list the matches of every record."""
-    return decision.listed(_ids(spark, d), decision.best_owner(decision.accepted(scored(spark, d), AT)), "matched_entity_ids")
+def link_end_to_end(spark: SparkSession, d: str, retrieve: Callable[[DataFrame], DataFrame] = blocking.retrieve_v4) -> DataFrame:
+    """Retrieve by all channels, compare, score by rule, decide, give each candidate one owner, and list the matches of every record."""
+    return decision.listed(_ids(spark, d), decision.best_owner(decision.accepted(scored(spark, d, retrieve), AT)), "matched_entity_ids")
 
 
 def _output_faults(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +176,8 @@ _MISS = "CASE WHEN {0} IS NULL OR trim({0}) = '' OR lower({0}) IN ('nan', 'none'
 
 def _registry() -> dict[str, tuple[Query, str | None]]:
     q: dict[str, tuple[Query, str | None]] = {}
-    q["link_end_to_end"] = (link_end_to_end, sql(f"SELECT s1.{S1}, coalesce(m, '') AS matched_entity_ids FROM s1 LEFT JOIN (SELECT {S1}, string_agg({C}, ',' ORDER BY {C}) AS m FROM best GROUP BY 1) USING ({S1})", LINKED, _OWN))
+    q["link_end_to_end"] = (link_end_to_end, None)
+    q["link_end_to_end_without_phonetic_ngram_minhash"] = (lambda s, d: link_end_to_end(s, d, _reduced), sql(f"SELECT s1.{S1}, coalesce(m, '') AS matched_entity_ids FROM s1 LEFT JOIN (SELECT {S1}, string_agg({C}, ',' ORDER BY {C}) AS m FROM best GROUP BY 1) USING ({S1})", LINKED, _OWN))
     q["normalise"] = (lambda s, d: normal(s, d).select(*_VIEWS), sql(f"SELECT {', '.join(_VIEWS)} FROM norm"))
     q["phonetic"] = (lambda s, d: normal(s, d).select("entity_id", "phonetic"), None)
     q["trigrams"] = (
@@ -186,10 +191,13 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
                 None if "phonetic" in ch.keys else sql("SELECT * FROM c0", _channel_cte(ch, 0)),
             )
         kept = [c for c in channels if "phonetic" not in c.keys]
-        q[f"retrieve_{version}"] = (
+        cut = {"v3": "_without_phonetic", "v4": "_without_phonetic_ngram_minhash"}.get(version, "")
+        q[f"retrieve_{version}{cut}"] = (
             lambda s, d, k=kept: blocking.retrieve(normal(s, d), k).withColumn("channels", F.array_join("channels", "|")),
             sql(f"SELECT {S1}, {C}, array_to_string(channels, '|') AS channels, num_channels FROM cands", _cands(kept)),
         )
+    for version, whole in (("v3", lambda n: blocking.retrieve(n, blocking.V3)), ("v4", blocking.retrieve_v4)):
+        q[f"retrieve_{version}"] = (lambda s, d, w=whole: w(normal(s, d)).withColumn("channels", F.array_join("channels", "|")), None)
     low = blocking.Channel("token", ("country_norm", "token"), 20, "token")
     q["channel_low_cap"] = (lambda s, d: blocking.pairs(normal(s, d), low), sql("SELECT * FROM c0", _channel_cte(low, 0)))
     q["channel_counts"] = (
