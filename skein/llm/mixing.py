@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in hash order, are cut into blocks. With quotas c of C slots, its block j is
-released at floor(j C / c) and due at ceil((j + 1) C / c); each slot goes to the released block with
-the earliest deadline. As the quotas fill all slots, every deadline is met, so at any slot t a
-source has had less than one block more or less than t c / C. The schedule repeats after C slots:
-one period is made on the driver, and each document finds its own slot from its rank.
+A source's documents, in hash order, are cut into blocks. With weight w of W in all, its block j is
+released at floor(j W / w) and due at ceil((j + 1) W / w); each slot goes to the released block with
+the earliest deadline. As the weights fill all slots, every deadline is met, so at any slot t a
+source has had less than one block more or less than t w / W. The weights are taken as the exact
+fractions that the floats are: nothing is rounded, and the bound holds however long a phase is. The
+slots are made on the driver, a number for each block, and each document finds its own from its rank.
 """
 
 from __future__ import annotations
@@ -12,66 +13,47 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable
+from fractions import Fraction
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import table
 
-#: Documents of a block, slots of a period (more for many sources), seed of the order within a source.
+#: Documents of a block, blocks of a row of the plan, seed of the order within a source.
 BLOCK, PERIOD, SEED = 32, 1000, 17
 #: About so many documents are ranked together.
 GROUP = 2000
 
 
-def quotas(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Whole slots for each source, at least one, nearest to the weights by largest remainders."""
-    total, period = sum(weights), max(period, 20 * len(weights))
-    exact = [w / total * period for w in weights]
-    own = [max(1, math.floor(x)) for x in exact]
-    order = sorted(range(len(own)), key=lambda i: (math.floor(exact[i]) - exact[i], i))
-    for i in order[: max(0, period - sum(own))]:
-        own[i] += 1
-    g = math.gcd(*own)
-    return [x // g for x in own]
-
-
-def one_period(own: list[int]) -> list[list[int]]:
-    """The slots that earliest-deadline-first gives each source's blocks, in a period of sum(own) slots."""
-    total = sum(own)
-    waits = [(0, i, 0) for i in range(len(own))]  # (release, source, block)
-    ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
-    slots: list[list[int]] = [[] for _ in own]
-    heapq.heapify(waits)
-    for t in range(total):
-        while waits and waits[0][0] <= t:
-            _, i, j = heapq.heappop(waits)
-            heapq.heappush(ready, (-(-(j + 1) * total // own[i]), i, j))
-        _, i, j = heapq.heappop(ready)
-        slots[i].append(t)
-        if j + 1 < own[i]:
-            heapq.heappush(waits, ((j + 1) * total // own[i], i, j + 1))
-    return slots
-
-
-def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """Phases as rows (source, first block, end block, base slot, quota, slots of a period, own slots).
+def schedule(blocks: list[int], weights: list[float]) -> list[list[int]]:
+    """The slots that earliest-deadline-first gives each source's blocks.
 
     A phase ends with the last block of some source; the others share the next by their weights.
     """
-    left, done, base, rows = list(blocks), [0] * len(blocks), 0, []
-    while live := [i for i, n in enumerate(left) if n]:
-        own = quotas([weights[i] for i in live], period)
-        slots, total = one_period(own), sum(own)
-        end = 1 + min((left[i] - 1) // c * total + s[(left[i] - 1) % c] for i, c, s in zip(live, own, slots))
-        for i, c, s in zip(live, own, slots):
-            n = min(left[i], end // total * c + int(np.searchsorted(s, end % total)))
-            rows.append((i, done[i], done[i] + n, base, c, total, s))
-            left[i], done[i] = left[i] - n, done[i] + n
-        base += end
-    return rows
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*[x.denominator for x in exact])
+    own = [int(x * unit) for x in exact]
+    slots: list[list[int]] = [[] for _ in blocks]
+    base = 0
+    while live := [i for i, n in enumerate(blocks) if len(slots[i]) < n]:
+        total = sum(own[i] for i in live)
+        waits = [(0, i, 0) for i in live]  # (release, source, block of the phase)
+        ready: list[tuple[int, int, int]] = []  # (deadline, source, block of the phase)
+        t = 0
+        while True:
+            while waits and waits[0][0] <= t:
+                _, i, j = heapq.heappop(waits)
+                heapq.heappush(ready, (-(-(j + 1) * total // own[i]), i, j))
+            _, i, j = heapq.heappop(ready)
+            slots[i].append(base + t)
+            t += 1
+            if len(slots[i]) == blocks[i]:
+                break
+            heapq.heappush(waits, ((j + 1) * total // own[i], i, j + 1))
+        base += t
+    return slots
 
 
 def ranked(docs: DataFrame, source: str) -> DataFrame:
@@ -100,7 +82,8 @@ def mix(docs: DataFrame, weight: Callable[[str, int], float] | dict[str, float]
     Sources that it doesn't name weigh 0 and come last, in proportion to their rows. Null sources count
     as ''. Positions rise with the slots; after a source's last, shorter block some are left out.
     Ties and repeated rows get places of their own; an empty table stays empty. The sources, with
-    their counts, are held on the driver, as a mixture's weights are. Columns of docs named block,
+    their counts and a slot for each block, are held on the driver and sent to the executors in rows
+    of `period` blocks; `period` bears on no slot. Columns of docs named block,
     slot or position are replaced.
     """
     docs = docs.drop("block", "slot", "position")
@@ -115,16 +98,13 @@ def mix(docs: DataFrame, weight: Callable[[str, int], float] | dict[str, float]
     for part in ([i for i, x in enumerate(w) if x > 0], [i for i, x in enumerate(w) if x <= 0]):
         if part:
             ws = [w[i] if w[i] > 0 else float(n[names[i]]) for i in part]
-            rows += [(names[part[r[0]]], r[1], r[2], base + r[3], *r[4:]) for r in schedule([blocks[i] for i in part], ws, period)]
+            for i, slots in zip(part, schedule([blocks[i] for i in part], ws)):
+                rows += [(names[i], k // period, [base + t for t in slots[k : k + period]]) for k in range(0, len(slots), period)]
             base += sum(blocks[i] for i in part)
-    schema = "_source string, _from long, _to long, _base long, _quota long, _period long, _slots array<int>"
-    plan = docs.sparkSession.createDataFrame(rows, schema)
-    b = F.floor(F.col("rank") / block)
-    placed = ranked(docs, source).withColumn("block", b).join(F.broadcast(plan), "_source")
-    placed = placed.where("block >= _from and block < _to")
-    j = F.col("block") - F.col("_from")
-    own = F.get("_slots", F.pmod(j, F.col("_quota")).cast("int"))
-    slot = F.col("_base") + F.floor(j / F.col("_quota")) * F.col("_period") + own
+    plan = docs.sparkSession.createDataFrame(rows, "_source string, _row long, _slots array<long>")
+    placed = ranked(docs, source).withColumn("block", F.floor(F.col("rank") / block))
+    placed = placed.withColumn("_row", F.floor(F.col("block") / period)).join(F.broadcast(plan), ["_source", "_row"])
+    slot = F.get("_slots", F.pmod("block", F.lit(period)).cast("int"))
     return placed.withColumn("slot", slot).select(*docs.columns, "block", "slot", (F.col("slot") * block + F.pmod(F.col("rank"), F.lit(block))).alias("position"))
 
 
