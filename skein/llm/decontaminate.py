@@ -31,9 +31,9 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    """Runs of WIDTH words; of fewer words, all of them."""
-    return {tuple(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))} if words else set()
+def shingles(words: list[str], width: int = WIDTH) -> set[tuple[str, ...]]:
+    """Runs of `width` words; of fewer words, all of them."""
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
 def question_answer(text: str | None) -> tuple[list[str], list[str]]:
@@ -206,7 +206,8 @@ class Index:
         """For each item found in a passage of the text: the best (overlap, answer's overlap, score).
 
         Passages are 2 x span words, one every span words, and span is the longest item's length: each
-        place of an item is whole in some passage.
+        place of an item is whole in some passage. An item of n < WIDTH words is compared with the
+        passage's runs of n words.
         """
         words = tokens(text)
         if not words or not self.items:
@@ -230,10 +231,13 @@ class Index:
             if not hits:
                 continue
             part = words[s:e]
-            held, bag = shingles(part), Counter(part)
+            held, bag = {}, Counter(part)  # held: the passage's runs by their width
             for i, score in hits:
                 answer = Counter(self.items[i][2])
-                both = len(self.grams[i] & held) / len(self.grams[i])
+                width = min(WIDTH, len(self.items[i][1]) + len(self.items[i][2]))
+                if width not in held:
+                    held[width] = shingles(part, width)
+                both = len(self.grams[i] & held[width]) / len(self.grams[i])
                 of_answer = sum((answer & bag).values()) / sum(answer.values()) if answer else 1.0
                 best[i] = max(best.get(i, (0.0, 0.0, 0.0)), (both, of_answer, score))
         return best
@@ -246,7 +250,8 @@ def indexes(benchmark: DataFrame) -> list[Index]:
     """Indexes of benchmark(item_id, text), or (item_id, question, answer), each of about INDEX_CHARS characters.
 
     The items' size is counted first; each index is built from its own block of them. Items that are
-    null or without a word match nothing.
+    null or without a word match nothing; those of under WIDTH words match wherever all their words
+    stand in a row.
     """
     cols = ["question", "answer"] if "question" in benchmark.columns else ["text"]
     chars = benchmark.agg(*[F.coalesce(F.sum(F.length(c)), F.lit(0)) for c in cols], F.count("*")).first()
