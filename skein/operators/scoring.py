@@ -66,9 +66,10 @@ def minhash_pairs(records: DataFrame, least: float = 0.5, perms: int = 64, rows:
     return near.join(left, "ha").join(right, "hb").select(S1, C, "jaccard")
 
 
-def hard_negatives(pairs: DataFrame) -> DataFrame:
+def hard_negatives(pairs: DataFrame, fuzz: bool = True) -> DataFrame:
+    """False pairs that are near in some way. fuzz: names near in spelling too, which needs name_fuzz_ratio."""
     near = (F.col("name_jaccard") > 0.2) | (F.col("exact_address_match") == 1) | (F.col("addr_jaccard") > 0.3) | (F.col("num_channels") >= 2)
-    if "name_fuzz_ratio" in pairs.columns:
+    if fuzz:
         near = near | (F.col("name_fuzz_ratio") > 0.3)
     return pairs.where((F.col("label") == 0) & near)
 

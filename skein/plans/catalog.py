@@ -151,8 +151,9 @@ def _ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trained(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    rows = features.labelled(_pairs(spark, d), truth(spark, d))
-    return scoring.scored(scoring.fit(scoring.training_set(rows), features.CHEAP, kind), rows).select(S1, C, "label", F.round("score", 6).alias("score"))
+    rows = features.labelled(features.costly(_pairs(spark, d)), truth(spark, d)).persist()  # the kernels run once, not for each pass of the fit
+    model = scoring.fit(scoring.training_set(rows), features.CHEAP + features.COSTLY, kind)
+    return scoring.scored(model, rows).select(S1, C, "label", F.round("score", 6).alias("score"))
 
 
 def link_end_to_end(spark: SparkSession, d: str, retrieve: Callable[[DataFrame], DataFrame] = blocking.retrieve_v4) -> DataFrame:
@@ -233,8 +234,9 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     )
     q["name_fuzz"] = (lambda s, d: features.costly(_pairs(s, d)).select(S1, C, *features.COSTLY), None)
     q["rule_score"] = (lambda s, d: scored(s, d).select(S1, C, "score"), sql(f"SELECT {S1}, {C}, score FROM scored", LINKED))
-    q["hard_negatives"] = (
-        lambda s, d: scoring.hard_negatives(features.labelled(_pairs(s, d), truth(s, d))).select(S1, C),
+    q["hard_negatives"] = (lambda s, d: scoring.hard_negatives(features.labelled(features.costly(_pairs(s, d)), truth(s, d))).select(S1, C), None)
+    q["hard_negatives_without_name_fuzz"] = (
+        lambda s, d: scoring.hard_negatives(features.labelled(_pairs(s, d), truth(s, d)), fuzz=False).select(S1, C),
         sql(f"SELECT {S1}, {C} FROM scored ANTI JOIN truth USING ({S1}, {C}) WHERE name_jaccard > 0.2::DOUBLE OR exact_address_match = 1 OR addr_jaccard > 0.3::DOUBLE OR num_channels >= 2", LINKED),
     )
     q["gbt_scores"] = (lambda s, d: _trained(s, d, "gbt"), None)
