@@ -1,28 +1,35 @@
 """Repeated 200-byte strings by a distributed merge sort of sampled suffixes.
 
-Sorting every suffix would move two hundred times the text, so suffixes are sampled: an anchor is the
-least hashed 8-byte gram of some 200-byte window. Equal windows have equal grams at equal places,
-so two equal windows always meet as two anchors whose bytes agree around them, at most 192 to the
-left and 200 to the right. The steps:
-
-1. Every anchor hashes the 96 bytes before and the 104 bytes from it; of an equal window one of the two is
-   whole. Sorted hashes go, by value, to tasks that send back which occur in more than one place.
-2. The anchors of which one does are the suffixes to sort. Each chunk of documents sorts its distinct
-   suffixes, with what precedes them, to runs by the gram; runs are front-coded: a suffix is sent
-   without the prefix that it shares with the one before.
-3. A loser tree merges the runs of a gram. It keeps each run's common prefix with the last winner and
-   never compares those bytes again; the common prefixes of the merged order part it into clusters
-   of equal grams, and within these equal windows are found for each place of the window.
-4. The places go back to the chunks, which remove what they cover.
-
-Each chunk sends a string once, however often it has it, so no copy makes a task larger.
+Sorting every suffix would move two hundred times the text, so suffixes are sampled: a window's
+anchor is the least hashed 8-byte gram of its first 104 bytes. Equal windows have their anchors at
+equal places, and the 104 bytes from an anchor on, its core, lie within the window. So a record is a suffix from
+an anchor on, with the bytes before it, as far as the windows of that anchor reach: 96 bytes
+before and 200 from it at most. Two records share a window that starts s bytes before the anchor where
+the suffixes have a common prefix of 200 - s bytes or more and the bytes before them a common end of s or more.
+
+1. Every chunk of documents sends short hashes of its cores, with the number of their records, by
+   value to tasks that send back which cores other chunks have too. (Prefix doubling's filter: a
+   suffix that differs from all others early need not be sent. A collision costs a record sent in vain.)
+2. Chunks sort the suffixes whose core does repeat to runs, front-coded: a suffix is sent without the prefix that
+   it shares with the one before. Runs go to tasks by their core, so what has to meet does.
+3. A loser tree merges a task's runs. It keeps each run's common prefix with the last winner and never
+   compares those bytes again. The common prefixes of the merged order, and those of the bytes before the
+   anchors sorted from their ends, part the records for each s: those in one part on both sides
+   share the window.
+4. The windows that are shared go back to the chunks, which remove what they cover.
+
+A chunk sends a record once, however often it has it. A core with more than HOT records (a common
+passage in very many contexts) isn't merged in one task: its windows themselves are sent as 64-bit hashes,
+each to the task of its value and once for each chunk, which splits it to any number of tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +39,14 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-#: Bytes of a repeated string; of a gram; before and after an anchor; places of it in a window; step 1's halves.
-LENGTH, GRAM = 200, 8
-LEFT, RIGHT = LENGTH - GRAM, LENGTH
-PLACES = LEFT + 1
-BEFORE, AFTER = 96, 104
-#: Bytes of text in a chunk, of a step within it, and of hashes or suffixes in a task.
-CHUNK, STEP, TASK = 4 << 20, 1 << 18, 4 << 20
+#: Bytes of a repeated string, of a gram, of a core; places of an anchor in a window.
+LENGTH, GRAM, CORE = 200, 8, 104
+PLACES = LENGTH - CORE + 1
+#: Bytes of text in a chunk, of a step within it, of hashes and of decoded records in a task at most, on average.
+CHUNK, STEP, HASHES, RECORDS = 4 << 20, 1 << 18, 4 << 20, 16 << 20
+#: Records of one core that are merged in one task, and records whose windows are compared together.
+HOT, BATCH = 4096, 1 << 15
+MASK40 = np.uint64((1 << 40) - 1)
 
 
 @cache
@@ -57,10 +65,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Slab:
-    """Hashes of the strings of a stretch of bytes, by sums of byte values times powers."""
+    """Hashes of the strings of a stretch of at most STEP + 2 LENGTH bytes, by sums of byte values times powers."""
 
     def __init__(self, data: np.ndarray):
-        value, up, down = _powers(STEP + 2 * (LEFT + RIGHT + LENGTH))
+        value, up, down = _powers(STEP + 2 * LENGTH)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(value[data] * up[: len(data)], out=self.sums[1:])
         self.down = down
@@ -68,9 +76,10 @@ class Slab:
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
-    def grams(self) -> np.ndarray:
-        n = len(self.sums) - GRAM
-        return (self.sums[GRAM:] - self.sums[:n]) * self.down[:n]
+    def every(self, width: int) -> np.ndarray:
+        """The hash of `width` bytes from each place on."""
+        n = len(self.sums) - width
+        return (self.sums[width:] - self.sums[:n]) * self.down[:n]
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:
@@ -86,63 +95,76 @@ def least_places(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+class Records(NamedTuple):
+    """Anchors of a stretch: place, least and greatest s of their windows, hashes of core and of the whole record."""
+
+    at: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    core: np.ndarray
+    name: np.ndarray
+
+
 class Chunk:
-    """The documents of a chunk in a fixed order, their bytes, and the anchors with their hashes."""
+    """The distinct texts of a chunk, their bytes one after the other, and the records in them.
+
+    A step's records are made at a time, so that the arrays don't grow with a text's length; of a record
+    that occurs again only the first is kept, with `again` set.
+    """
 
     def __init__(self, rows: pa.Table):
-        text = pc.fill_null(rows["text"].cast(pa.large_binary()), b"")
-        rows = rows.set_column(rows.schema.get_field_index("text"), "text", text)
-        rows = rows.take(pc.sort_indices(rows.append_column("size", pc.binary_length(text)), [("doc_id", "ascending"), ("size", "ascending")]))
-        self.ids, texts = rows["doc_id"], rows["text"].to_pylist()
-        order = sorted(range(len(texts)), key=lambda i: (self.ids[i].as_py() is None, self.ids[i].as_py() or 0, texts[i]))
-        self.ids, texts = [self.ids[i].as_py() for i in order], [texts[i] for i in order]
-        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        self.starts = self.ends - np.array([len(t) for t in texts], np.int64)
-        self.bytes = b"".join(texts)
+        self.texts: list[bytes] = list(dict.fromkeys(rows["text"].cast(pa.large_binary()).to_pylist()))
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.bytes = b"".join(self.texts)
         self.data = np.frombuffer(self.bytes, np.uint8)
-        self._find()
-
-    def _find(self) -> None:
-        parts = []
-        usable = np.zeros(len(self.data), bool)  # window starts within one document
-        for s, e in zip(self.starts, self.ends):
-            usable[s : max(s, e - LENGTH + 1)] = True
-        for at in range(0, len(self.data), STEP):
-            own = usable[at : at + STEP]
-            if not own.any():
+        self.usable = np.zeros(len(self.data), bool)  # windows start within one document
+        for s, e in zip(self.starts.tolist(), self.ends.tolist()):
+            self.usable[s : max(s, e - LENGTH + 1)] = True
+
+    def steps(self) -> Iterator[Records]:
+        for base in range(0, len(self.data) - LENGTH + 1, STEP):
+            part = self.data[base : base + STEP + LENGTH - 1]
+            windows = len(part) - LENGTH + 1
+            w = np.flatnonzero(self.usable[base : base + windows])
+            if not len(w):
                 continue
-            slab = Slab(self.data[at : at + STEP + LENGTH])
-            g = slab.grams()
-            if len(g) < LENGTH - GRAM + 1:
-                continue
-            least = least_places(g, LENGTH - GRAM + 1)
-            parts.append(np.unique(least[: len(own)][own[: len(least)]]) + at)
-        self.anchors = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-        doc = np.searchsorted(self.ends, self.anchors, "right")
-        self.left = np.minimum(self.anchors - self.starts[doc], LEFT) if len(doc) else self.anchors
-        self.right = np.minimum(self.ends[doc] - self.anchors, RIGHT) if len(doc) else self.anchors
-        n = len(self.anchors)
-        self.gram, self.context = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        self.before, self.after = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        for at in range(0, len(self.data), STEP):
-            i, j = np.searchsorted(self.anchors, [at, at + STEP])
-            if i == j:
-                continue
-            base = max(0, at - LEFT)
-            slab = Slab(self.data[base : at + STEP + RIGHT])
-            a, left, right = self.anchors[i:j] - base, self.left[i:j], self.right[i:j]
-            self.gram[i:j] = _mix(slab.hash(a, a + GRAM))
-            size = (left * 256 + right).astype(np.uint64)
-            self.context[i:j] = _mix(slab.hash(a - left, a + right) ^ _mix(size))
-            has = left >= BEFORE
-            self.before[i:j][has] = _mix(slab.hash(a[has] - BEFORE, a[has] + GRAM) ^ np.uint64(1))
-            has = right >= AFTER
-            self.after[i:j][has] = _mix(slab.hash(a[has], a[has] + AFTER) ^ np.uint64(2))
-
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes of the halves in order, and whether each occurs twice or more here."""
-        h, n = np.unique(np.concatenate([self.before[self.before != 0], self.after[self.after != 0]]), return_counts=True)
-        return h, n > 1
+            slab = Slab(part)
+            a = least_places(slab.every(GRAM)[: windows + PLACES - 1], PLACES)[w]
+            new = np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1] + 1)]
+            last = np.r_[new[1:], True]
+            a, first, last = a[new], w[new], w[last]
+            core = _mix(slab.hash(a, a + CORE))
+            size = (last - first) * 256 + (a - first)
+            name = _mix(slab.hash(first, last + LENGTH) ^ _mix(size.astype(np.uint64)) ^ core)
+            yield Records(a + base, a - last, a - first, core, name)
+
+    def distinct(self) -> tuple[Records, np.ndarray]:
+        """(records, the first of equal ones; whether each occurs again in the chunk)."""
+        parts, more = [], []
+        for r in self.steps():
+            _, i, n = np.unique(r.name, return_index=True, return_counts=True)
+            parts.append(Records(*(x[i] for x in r)))
+            more.append(n > 1)
+        if not parts:
+            none = np.zeros(0, np.int64)
+            return Records(none, none, none, none.astype(np.uint64), none.astype(np.uint64)), np.zeros(0, bool)
+        r = Records(*(np.concatenate(x) for x in zip(*parts)))
+        _, i, back, n = np.unique(r.name, return_index=True, return_inverse=True, return_counts=True)
+        again = n > 1
+        np.logical_or.at(again, back, np.concatenate(more))
+        return Records(*(x[i] for x in r)), again
+
+    def windows(self, start: np.ndarray) -> np.ndarray:
+        """The hashes of the windows at these sorted places."""
+        out = np.zeros(len(start), np.uint64)
+        for base in range(0, len(self.data), STEP):
+            i, j = np.searchsorted(start, [base, base + STEP])
+            if i < j:
+                s = start[i:j] - base
+                out[i:j] = _mix(Slab(self.data[base : base + STEP + LENGTH - 1]).hash(s, s + LENGTH) ^ np.uint64(3))
+        return out
 
 
 def _parts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,58 +174,64 @@ def _parts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return top[cut], np.r_[cut, len(top)]
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The low 40 bits of hashes as rows of five bytes; the leading ones are known from their part."""
+    return (h & MASK40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
 def hashes_of(rows: pa.Table, bits: int) -> pa.Table:
-    """Step 1, out: (p, chunk, data), the chunk's sorted hashes by their leading bits."""
-    h, _ = Chunk(rows).halves()
-    p, cut = _parts(h, bits)
-    data = [h[s:e].tobytes() for s, e in zip(cut, cut[1:])]
+    """Step 1, out: (p, chunk, data), of the chunk's cores five bytes of hash and a byte, eight times log2 of their records."""
+    core, n = np.unique(Chunk(rows).distinct()[0].core, return_counts=True)
+    size = np.minimum(np.ceil(8 * np.log2(n)), 255).astype(np.uint8)
+    p, cut = _parts(core, bits)
+    both = np.concatenate([_short(core), size[:, None]], 1)
+    data = [both[s:e].tobytes() for s, e in zip(cut, cut[1:])]
     return pa.table({"p": pa.array(p, pa.int64()), "chunk": pa.array([rows["chunk"][0].as_py()] * len(p), pa.int64()), "data": pa.array(data, pa.binary())})
 
 
-def repeated(rows: pa.Table) -> pa.Table:
-    """Step 1, back: (chunk, p, data), a bit for each of the chunk's hashes: it occurs in other chunks too."""
-    own = [np.frombuffer(x, np.uint64) for x in rows["data"].to_pylist()]
+def repeated(rows: pa.Table, hot: int = HOT) -> pa.Table:
+    """Step 1, back: (chunk, p, data), for each of the chunk's cores a byte: 0 it has no other records, 1 it has, 2 over `hot`."""
+    own = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in rows["data"].to_pylist()]
     every = np.concatenate(own)
-    every.sort()
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    bits = []
-    for x in own:
-        at = np.minimum(np.searchsorted(twice, x), max(len(twice) - 1, 0))
-        bits.append(np.packbits(twice[at] == x if len(twice) else np.zeros(len(x), bool)).tobytes())
-    return pa.table({"chunk": rows["chunk"], "p": rows["p"], "data": pa.array(bits, pa.binary())})
-
-
-def encode(run: list[tuple[bytes, bytes, int, int]]) -> bytes:
-    """A sorted run of (suffix, what precedes it, context's hash, seen twice), front-coded."""
+    wide = np.zeros((len(every), 8), np.uint8)
+    wide[:, :5] = every[:, :5]
+    h = wide.view("<u8").ravel()
+    _, back, chunks = np.unique(h, return_inverse=True, return_counts=True)
+    records = np.bincount(back, 2.0 ** (every[:, 5] / 8))
+    state = np.where(records > hot, 2, (chunks > 1) | (records > 1.01)).astype(np.uint8)[back]
+    data = [x.tobytes() for x in np.split(state, np.cumsum([len(x) for x in own])[:-1])]
+    return pa.table({"chunk": rows["chunk"], "p": rows["p"], "data": pa.array(data, pa.binary())})
+
+
+def encode(run: list[tuple[bytes, bytes, int]]) -> bytes:
+    """A sorted run of (suffix, what precedes it, the record's name), front-coded."""
     n = len(run)
-    flat = np.zeros((n, RIGHT), np.uint8)
     size = np.array([len(r[0]) for r in run], np.uint8)
-    held = np.frombuffer(b"".join(r[0].ljust(RIGHT, b"\0") for r in run), np.uint8).reshape(n, RIGHT)
-    flat[:] = held
+    flat = np.frombuffer(b"".join(r[0].ljust(LENGTH, b"\0") for r in run), np.uint8).reshape(n, LENGTH)
     lcp = np.zeros(n, np.uint8)
     if n > 1:
         differ = flat[1:] != flat[:-1]
-        first = np.where(differ.any(1), differ.argmax(1), RIGHT)
+        first = np.where(differ.any(1), differ.argmax(1), LENGTH)
         lcp[1:] = np.minimum(first, np.minimum(size[1:], size[:-1]))
-    head = np.stack([lcp, size, np.array([len(r[1]) for r in run], np.uint8), np.array([r[3] for r in run], np.uint8)])
+    head = np.stack([lcp, size, np.array([len(r[1]) for r in run], np.uint8)])
     names = np.array([r[2] for r in run], np.uint64)
     rest = b"".join(r[0][k:] + r[1] for r, k in zip(run, lcp.tolist()))
     return n.to_bytes(4, "little") + head.tobytes() + names.tobytes() + rest
 
 
-def decode(blob: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarray, np.ndarray]:
-    """(suffixes, common prefixes with the one before, what precedes them, hashes, seen twice)."""
+def decode(blob: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarray]:
+    """(suffixes, common prefixes with the one before, what precedes them, names)."""
     n = int.from_bytes(blob[:4], "little")
-    head = np.frombuffer(blob, np.uint8, 4 * n, 4).reshape(4, n)
-    names = np.frombuffer(blob, np.uint64, n, 4 + 4 * n)
-    at, last, suffixes, lefts = 4 + 12 * n, b"", [], []
-    for k, size, before in zip(*head[:3].tolist()):
+    head = np.frombuffer(blob, np.uint8, 3 * n, 4).reshape(3, n)
+    names = np.frombuffer(blob, np.uint64, n, 4 + 3 * n)
+    at, last, suffixes, lefts = 4 + 11 * n, b"", [], []
+    for k, size, before in zip(*head.tolist()):
         e = at + size - k
         last = last[:k] + blob[at:e]
         suffixes.append(last)
         lefts.append(blob[e : e + before])
         at = e + before
-    return suffixes, head[0].tolist(), lefts, names, head[3]
+    return suffixes, head[0].tolist(), lefts, names
 
 
 def common(a: bytes, b: bytes, k: int) -> int:
@@ -268,101 +296,169 @@ def merge(runs: list[tuple[list[bytes], list[int]]]):
         prefix = shared[win]
 
 
-def equal_places(suffixes: list[bytes], lefts: list[bytes], twice: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each context and place of a window (0: from the anchor on), whether another context of its group, or its own double, has it."""
-    n = len(suffixes)
-    data = np.frombuffer(b"".join(a.rjust(LEFT, b"\0") + b.ljust(RIGHT, b"\0") for a, b in zip(lefts, suffixes)), np.uint8).reshape(n, -1)
-    value, up, _ = _powers(STEP + 2 * (LEFT + RIGHT + LENGTH))
-    sums = np.zeros((n, LEFT + RIGHT + 1), np.uint64)
-    np.cumsum(value[data] * up[: LEFT + RIGHT], axis=1, out=sums[:, 1:])
-    before, after = np.array([len(x) for x in lefts]), np.array([len(x) for x in suffixes])
-    salt = _mix(group.astype(np.uint64) + np.uint64(1))
+def shared_windows(prefix: list[int], sizes: np.ndarray, lefts: list[bytes]) -> np.ndarray:
+    """For records in merged order and each s, whether another record has the window that starts s bytes before the anchor.
+
+    prefix: each suffix's common prefix with the one before, as the merge knows it; sizes: the suffixes'
+    lengths; lefts: what precedes them. A stretch of the order with prefixes of 200 - s and more is one
+    part; so is, with the bytes before sorted from their ends, one with common ends of s and more.
+    """
+    n = len(lefts)
     out = np.zeros((n, PLACES), bool)
-    wide = max(1, (1 << 21) // n)
-    for at in range(0, PLACES, wide):
-        s = np.arange(at, min(PLACES, at + wide))
-        h = _mix(sums[:, LEFT - s + LENGTH] - sums[:, LEFT - s]) ^ salt[:, None]
-        valid = (before[:, None] >= s) & (after[:, None] >= LENGTH - s)
-        order = np.argsort(h, 0, kind="stable")
-        sorted_, ok = np.take_along_axis(h, order, 0), np.take_along_axis(valid, order, 0)
-        same = (sorted_[1:] == sorted_[:-1]) & ok[1:] & ok[:-1]
-        hit = np.zeros_like(valid)
-        hit[1:] |= same
-        hit[:-1] |= same
-        got = np.zeros_like(valid)
-        np.put_along_axis(got, order, hit, 0)
-        out[:, s] = (got | (twice[:, None] > 0)) & valid
+    held = np.array(prefix, np.int16)
+    held[0] = 0
+    lo, hi = LENGTH - sizes, np.array([len(x) for x in lefts], np.int64)
+    ends = [x[::-1] for x in lefts]
+    order = np.array(sorted(range(n), key=ends.__getitem__))
+    flat = np.frombuffer(b"".join(ends[i].ljust(PLACES - 1, b"\0") for i in order), np.uint8).reshape(n, PLACES - 1)
+    same = np.zeros(n, np.int16)
+    if n > 1:
+        differ = flat[1:] != flat[:-1]
+        same[1:] = np.minimum(np.where(differ.any(1), differ.argmax(1), PLACES - 1), np.minimum(hi[order][1:], hi[order][:-1]))
+    part = np.zeros(n, np.int64)
+    for s in range(PLACES):
+        cut = held < LENGTH - s
+        ok = np.flatnonzero((lo <= s) & (s <= hi) & ~(cut & np.r_[cut[1:], True]))  # alone in its stretch: none shares it
+        if len(ok) < 2:
+            continue
+        part[order] = np.cumsum(same < s)
+        key = np.cumsum(cut)[ok] * (n + 1) + part[ok]
+        by = np.argsort(key, kind="stable")
+        equal = key[by][1:] == key[by][:-1]
+        out[ok[by[1:][equal]], s] = True
+        out[ok[by[:-1][equal]], s] = True
     return out
 
 
-def sorted_runs(chunk: pa.Table, marks: pa.Table, bits: int) -> pa.Table:
-    """Step 2: (q, chunk, data), the chunk's distinct suffixes that may repeat, in runs by their gram's leading bits."""
+def _empty(*types: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.table({n: pa.array([], kinds[t]) for n, t in (x.split() for x in types)})
+
+
+def sorted_runs(chunk: pa.Table, marks: pa.Table, bits: int, wide: int) -> pa.Table:
+    """Step 2: (q, chunk, hot, data), the chunk's records whose core repeats, in sorted runs by the core's leading bits.
+
+    For hot cores, the distinct hashes of their windows by their own leading bits, and whether each occurs twice here.
+    """
     if not chunk.num_rows:
-        return pa.table({"q": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+        return _empty("q long", "chunk long", "hot long", "data binary")
     c = Chunk(chunk)
-    h, own = c.halves()
-    p, cut = _parts(h, bits)
-    flags = {x: d for x, d in zip(marks["p"].to_pylist(), marks["data"].to_pylist())}
-    rep = own.copy()
-    for x, s, e in zip(p.tolist(), cut, cut[1:]):
-        rep[s:e] |= np.unpackbits(np.frombuffer(flags[x], np.uint8), count=e - s).astype(bool)
-
-    def marked(x: np.ndarray) -> np.ndarray:
-        return rep[np.minimum(np.searchsorted(h, x), len(h) - 1)] & (x != 0) if len(h) else np.zeros(len(x), bool)
-
-    pick = np.flatnonzero((marked(c.before) | marked(c.after)) & (c.left + c.right >= LENGTH))
-    found: dict[tuple[int, bytes, bytes], list[int]] = {}
-    q = (c.gram >> np.uint64(64 - bits)).astype(np.int64)
-    for i, a, left, right, part, name in zip(pick, c.anchors[pick].tolist(), c.left[pick].tolist(), c.right[pick].tolist(), q[pick].tolist(), c.context[pick].tolist()):
-        key = part, c.bytes[a : a + right], c.bytes[a - left : a]
-        if key in found:
-            found[key][1] = 1
-        else:
-            found[key] = [name, 0]
-    runs: dict[int, list] = {}
-    for part, suffix, left in sorted(found):
-        runs.setdefault(part, []).append((suffix, left, *found[part, suffix, left]))
+    r, _ = c.distinct()
+    cores, back = np.unique(r.core, return_inverse=True)
+    p, cut = _parts(cores, bits)
+    states = {x: d for x, d in zip(marks["p"].to_pylist(), marks["data"].to_pylist())}
+    state = np.frombuffer(b"".join(states[x] for x in p.tolist()), np.uint8)[back]
+    pick = np.flatnonzero(state == 1)
+    runs: dict[int, list[tuple[bytes, bytes, int]]] = {}
+    q = (r.core[pick] >> np.uint64(64 - wide)).tolist()
+    for part, a, lo, hi, name in zip(q, *(x[pick].tolist() for x in (r.at, r.lo, r.hi, r.name))):
+        runs.setdefault(part, []).append((c.bytes[a : a + LENGTH - lo], c.bytes[a - hi : a], name))
+    rows = []
+    for part, run in runs.items():
+        run.sort()
+        rows.append((part, 0, encode(run)))
+    pick = np.flatnonzero(state == 2)
+    if len(pick):
+        n = r.hi[pick] - r.lo[pick] + 1
+        start = np.repeat(r.at[pick] - r.hi[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        h, twice = np.unique(c.windows(np.sort(start)), return_counts=True)
+        for part, s, e in (lambda q, cut: zip(q.tolist(), cut, cut[1:]))(*_parts(h, wide)):
+            rows.append((part, 1, h[s:e].tobytes() + (twice[s:e] > 1).astype(np.uint8).tobytes()))
     return pa.table({
-        "q": pa.array(list(runs), pa.int64()), "chunk": pa.array([chunk["chunk"][0].as_py()] * len(runs), pa.int64()),
-        "data": pa.array([encode(r) for r in runs.values()], pa.binary()),
+        "q": pa.array([x[0] for x in rows], pa.int64()), "chunk": pa.array([chunk["chunk"][0].as_py()] * len(rows), pa.int64()),
+        "hot": pa.array([x[1] for x in rows], pa.int64()), "data": pa.array([x[2] for x in rows], pa.binary()),
     })
 
 
-def places_of(rows: pa.Table) -> pa.Table:
-    """Step 3: (chunk, data), for each run its contexts' hashes and the places of windows that others have too."""
-    runs = [decode(x) for x in rows["data"].to_pylist()]
+def places_of(rows: pa.Table, batch: int = BATCH) -> pa.Table:
+    """Step 3: (chunk, hot, data), for each run its records' names and the windows that others have too.
+
+    At most `batch` records and those of one core, HOT at most, are compared together. For hot
+    windows: the hashes that several chunks sent, or one that has it twice.
+    """
+    of = rows["hot"].to_pylist()
+    chunks, blobs = rows["chunk"].to_pylist(), rows["data"].to_pylist()
+    merged = [i for i, hot in enumerate(of) if not hot]
+    runs = [decode(blobs[i]) for i in merged]
     out = [np.zeros((len(r[0]), -(-PLACES // 8)), np.uint8) for r in runs]
     held: list[tuple[int, int]] = []
-    groups: list[int] = []
-    group = 0
+    prefixes: list[int] = []
 
     def settle() -> None:
-        if len(held) > 1 or any(runs[i][4][j] for i, j in held):
-            twice = np.array([runs[i][4][j] for i, j in held])
-            bits = np.packbits(equal_places([runs[i][0][j] for i, j in held], [runs[i][2][j] for i, j in held], twice, np.array(groups)), axis=1)
+        if len(held) > 1:
+            sizes = np.array([len(runs[i][0][j]) for i, j in held])
+            bits = np.packbits(shared_windows(prefixes, sizes, [runs[i][2][j] for i, j in held]), axis=1)
             for (i, j), b in zip(held, bits):
                 out[i][j] = b
         held.clear()
-        groups.clear()
+        prefixes.clear()
 
     for i, j, prefix in merge([(r[0], r[1]) for r in runs]):
-        if prefix < GRAM:  # another gram: no window can be equal across
-            group += 1
-            if len(held) >= 2048:
-                settle()
+        if prefix < CORE and len(held) >= batch:  # another core: no window can be equal across
+            settle()
         held.append((i, j))
-        groups.append(group)
+        prefixes.append(prefix)
     settle()
-    data = []
-    for r, o in zip(runs, out):
+    sent = []
+    for i, r, o in zip(merged, runs, out):
         some = o.any(1)
-        data.append(int(some.sum()).to_bytes(4, "little") + r[3][some].tobytes() + o[some].tobytes())
-    return pa.table({"chunk": rows["chunk"], "data": pa.array(data, pa.binary())})
+        if some.any():
+            sent.append((chunks[i], 0, int(some.sum()).to_bytes(4, "little") + r[3][some].tobytes() + o[some].tobytes()))
+    hot = [(i, *(np.frombuffer(b, t, len(b) // 9, at) for t, at in (("<u8", 0), (np.uint8, len(b) // 9 * 8)))) for i, b in enumerate(blobs) if of[i]]
+    if hot:
+        known, back, n = np.unique(np.concatenate([h for _, h, _ in hot]), return_inverse=True, return_counts=True)
+        more = n > 1
+        np.logical_or.at(more, back, np.concatenate([t for *_, t in hot]) > 0)
+        for i, h, _ in hot:
+            own = h[more[np.searchsorted(known, h)]]
+            if len(own):
+                sent.append((chunks[i], 1, own.tobytes()))
+    return pa.table({"chunk": pa.array([x[0] for x in sent], pa.int64()), "hot": pa.array([x[1] for x in sent], pa.int64()), "data": pa.array([x[2] for x in sent], pa.binary())})
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def covered(c: Chunk, places: pa.Table) -> np.ndarray:
+    """Which bytes of the chunk go: those in windows at `places`, and in records that the chunk itself has twice."""
+    width = -(-PLACES // 8)
+    name, bits, hot = [np.zeros(0, np.uint64)], [np.zeros((0, width), np.uint8)], [np.zeros(0, np.uint64)]
+    for kind, x in zip(places["hot"].to_pylist(), places["data"].to_pylist()):
+        if kind:
+            hot.append(np.frombuffer(x, np.uint64))
+            continue
+        n = int.from_bytes(x[:4], "little")
+        name.append(np.frombuffer(x, np.uint64, n, 4))
+        bits.append(np.frombuffer(x, np.uint8, n * width, 4 + 8 * n).reshape(n, width))
+    r, again = c.distinct()
+    own = np.sort(r.name[again])
+    name, bits, hot = np.concatenate(name), np.concatenate(bits), np.sort(np.concatenate(hot))
+    order = np.argsort(name)
+    name, bits = name[order], bits[order]
+    starts = np.zeros(len(c.data) + 1, bool)
+
+    def found(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+        return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x if len(among) else np.zeros(len(x), bool)
+
+    for x in c.steps():
+        for i in np.flatnonzero(found(x.name, own)).tolist():
+            starts[x.at[i] - x.hi[i] : x.at[i] - x.lo[i] + 1] = True
+        some = np.flatnonzero(found(x.name, name))
+        for i in range(0, len(some), 1 << 14):
+            few = some[i : i + (1 << 14)]
+            row, place = np.nonzero(np.unpackbits(bits[np.searchsorted(name, x.name[few])], axis=1, count=PLACES))
+            starts[x.at[few][row] - place] = True
+    if len(hot):
+        for base in range(0, len(c.data) - LENGTH + 1, STEP):
+            w = base + np.flatnonzero(c.usable[base : base + STEP])
+            starts[w[found(c.windows(w), hot)]] = True
+    at = np.flatnonzero(starts)
+    change = np.zeros(len(c.data) + 1, np.int32)
+    change[at] += 1
+    change[at + LENGTH] -= 1
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
+
+
 def removed(chunk: pa.Table, places: pa.Table, keep_text: bool = False) -> pa.Table:
     """Step 4: a row for each document, with what stays of it once the windows at `places` are removed."""
     names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()]
@@ -371,59 +467,53 @@ def removed(chunk: pa.Table, places: pa.Table, keep_text: bool = False) -> pa.Ta
     if not chunk.num_rows:
         return pa.table([pa.array([], t) for t in types], names)
     c = Chunk(chunk)
-    name, bits = [np.zeros(0, np.uint64)], [np.zeros((0, -(-PLACES // 8)), np.uint8)]
-    for x in places["data"].to_pylist():
-        n = int.from_bytes(x[:4], "little")
-        name.append(np.frombuffer(x, np.uint64, n, 4))
-        bits.append(np.frombuffer(x, np.uint8, n * bits[0].shape[1], 4 + 8 * n).reshape(n, bits[0].shape[1]))
-    name, bits = np.concatenate(name), np.concatenate(bits)
-    order = np.argsort(name)
-    name, bits = name[order], bits[order]
-    step = np.zeros(len(c.data) + 1, np.int32)
-    if len(name):
-        at = np.minimum(np.searchsorted(name, c.context), len(name) - 1)
-        hit = np.flatnonzero(name[at] == c.context)
-        start = np.zeros(len(c.data), bool)
-        for i in range(0, len(hit), 1 << 14):
-            some = hit[i : i + (1 << 14)]
-            row, place = np.nonzero(np.unpackbits(bits[at[some]], axis=1, count=PLACES))
-            start[c.anchors[some][row] - place] = True
-        start = np.flatnonzero(start)
-        step[start] += 1
-        step[start + LENGTH] -= 1
-    gone = np.cumsum(step[:-1]) > 0
-    rows = []
-    for d, s, e in zip(c.ids, c.starts.tolist(), c.ends.tolist()):
-        g = gone[s:e]
+    gone = covered(c, places)
+    texts = chunk["text"].cast(pa.large_binary())
+    copies = dict(zip(*(x.to_pylist() for x in (lambda v: (v.field("values"), v.field("counts")))(pc.value_counts(texts)))))
+    result = {}
+    for t, s, e in zip(c.texts, c.starts.tolist(), c.ends.tolist()):
+        g = gone[s:e] if copies[t] == 1 else np.ones(e - s, bool)  # a text that is here twice repeats as a whole
         n = int(g.sum())
-        kept = c.bytes[s:e] if not n else c.data[s:e][~g].tobytes()
+        kept = t if not n else c.data[s:e][~g].tobytes()
         spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
-        rows.append((d, e - s, n, spans, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
+        result[t] = (e - s, n, spans, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else []))
+    rows = [(d, *result[t]) for d, t in zip(chunk["doc_id"].to_pylist(), texts.to_pylist())]
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
 def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs(doc_id, text), exactly.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs(doc_id, text).
 
     Every byte is removed that a LENGTH-byte string covers which also starts anywhere else, in this
-    or another document; null texts count as empty and shorter ones stay whole. keep_text: also the
-    remaining bytes, `kept` (their characters may be cut). Repeated rows stay as rows, and repeat each
-    other; rows without a doc_id too; other columns are ignored. A string is compared by a 64-bit hash
-    of its 200 bytes among those with the same gram.
+    or another document; null texts count as empty, and texts under LENGTH bytes stay whole, without a
+    shuffle. keep_text: also the remaining bytes, `kept` (their characters may be cut). Repeated rows stay as
+    rows, and repeat each other; rows without a doc_id too; other columns are ignored; an empty table
+    gives an empty one. Strings are compared by their bytes; only those of a core with over HOT records by a
+    64-bit hash of all 200.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = F.octet_length("text")
+    short = base.where(size < LENGTH).select(
+        "doc_id", size.cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+        F.sha2("text", 256).alias("kept_sha256"), *([F.encode("text", "UTF-8").alias("kept")] if keep_text else []),
+    )
+    base = base.where(size >= LENGTH)
+    total = base.agg(F.sum(size.cast("long"))).first()[0] or 0
     chunks = max(1, math.ceil(total / CHUNK))
-    bits = max(5, math.ceil(math.log2(max(1, total * 16 / 70 / TASK))))
-    chunked = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(chunks, "chunk")
+    bits = max(5, math.ceil(math.log2(max(1, total * 6 / (PLACES / 2) / HASHES))))
+    wide = max(5, math.ceil(math.log2(max(1, total * 5 / RECORDS))))
+    # The place of the row's block in its file parts even rows that are equal throughout.
+    spot = F.xxhash64("doc_id", "text", F.input_file_name(), F.input_file_block_start())
+    chunked = base.withColumn("chunk", F.pmod(spot, F.lit(chunks)).cast("long")).repartition(chunks, "chunk")
     by_chunk = chunked.groupBy("chunk")
     sent = by_chunk.applyInArrow(lambda t: hashes_of(t, bits), "p long, chunk long, data binary")
     marks = sent.groupBy("p").applyInArrow(repeated, "chunk long, p long, data binary")
-    runs = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(lambda a, b: sorted_runs(a, b, bits), "q long, chunk long, data binary")
-    places = runs.groupBy("q").applyInArrow(places_of, "chunk long, data binary")
+    runs = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(lambda a, b: sorted_runs(a, b, bits, wide), "q long, chunk long, hot long, data binary")
+    places = runs.groupBy("q").applyInArrow(places_of, "chunk long, hot long, data binary")
     schema = RESULT + (", kept binary" if keep_text else "")
-    return by_chunk.cogroup(places.groupBy("chunk")).applyInArrow(lambda a, b: removed(a, b, keep_text), schema)
+    return by_chunk.cogroup(places.groupBy("chunk")).applyInArrow(lambda a, b: removed(a, b, keep_text), schema).union(short)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each document, by dedup() over the whole table."""
     return dedup(table(spark, sf_dir, "documents"))

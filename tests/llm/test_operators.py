@@ -1,10 +1,9 @@
-import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, golay_dedup, html_extract, mixing, quality, secrets, suffix_dedup
+from skein.llm import decontaminate, golay_dedup, html_extract, mixing, quality, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,26 +31,6 @@ def test_near_dedup_edges(spark):
     assert golay_dedup.classes(df.limit(0)).count() == 0
 
 
-def test_repeats_against_brute_force(spark):
-    common = prose(4, 60)
-    texts = [prose(5, 80) + common + prose(6, 20), common, "é" + common[3:] + common, None, "", prose(7, 10), common]
-    data = [(t or "").encode() for t in texts]
-    seen = {}
-    for t in data:
-        for i in range(len(t) - 199):
-            seen[t[i : i + 200]] = seen.get(t[i : i + 200], 0) + 1
-    want = {}
-    for d, t in enumerate(data):
-        gone = [False] * len(t)
-        for i in range(len(t) - 199):
-            if seen[t[i : i + 200]] > 1:
-                gone[i : i + 200] = [True] * 200
-        kept = bytes(c for c, g in zip(t, gone) if not g)
-        want[d] = (len(t), sum(gone), hashlib.sha256(kept).hexdigest())
-    got = suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in got} == want
-
-
 def test_wand_finds_what_brute_force_finds():
     items = [(i, prose(100 + i, 25).split(), []) for i in range(200)]
     index = decontaminate.Index.build(items)
