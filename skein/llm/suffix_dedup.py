@@ -507,9 +507,9 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     chunked = base.withColumn("chunk", F.pmod(spot, F.lit(chunks)).cast("long")).repartition(chunks, "chunk")
     by_chunk = chunked.groupBy("chunk")
     sent = by_chunk.applyInArrow(lambda t: hashes_of(t, bits), "p long, chunk long, data binary")
-    marks = sent.groupBy("p").applyInArrow(repeated, "chunk long, p long, data binary")
+    marks = sent.groupBy("p").applyInArrow(lambda t: repeated(t), "chunk long, p long, data binary")
     runs = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(lambda a, b: sorted_runs(a, b, bits, wide), "q long, chunk long, hot long, data binary")
-    places = runs.groupBy("q").applyInArrow(places_of, "chunk long, hot long, data binary")
+    places = runs.groupBy("q").applyInArrow(lambda t: places_of(t), "chunk long, hot long, data binary")
     schema = RESULT + (", kept binary" if keep_text else "")
     return by_chunk.cogroup(places.groupBy("chunk")).applyInArrow(lambda a, b: removed(a, b, keep_text), schema).union(short)
 
