@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is set."""
+    """The folder that the driver and all executors see; a temporary one where none is set and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -41,6 +43,17 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores before it as long as df has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def hex16(c: Column) -> Column:
     """A long as 16 lower-case hexadecimal digits, its bits taken as unsigned."""
     return F.lpad(F.lower(F.hex(c)), 16, "0")
@@ -55,7 +68,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected `edges` (a long, b long): rows (node, root), root the least node.
 
     Alternates large-star and small-star steps, each an aggregate and a join; a step's edges are
-    written to the shared folder, so lineage stays short. Nodes without an edge don't appear.
+    written to the shared folder, so lineage stays short, and deleted once the next step's are there.
+    Nodes without an edge don't appear; null ends are left out.
     Raises RuntimeError if `rounds` don't suffice (they grow with the logarithm of the longest chain).
     """
 
@@ -74,6 +88,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         then = written(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         got = digest(then)
+        for old in (now, large):
+            remove(old)
         now = then
         if got == seen:
             break
@@ -84,6 +100,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def by_key(rows: DataFrame, side: DataFrame, key: str, n: str, most: int = 1000) -> DataFrame:
+    """rows joined with side on `key`; side's keys are unique, and its column `n` counts the rows of each.
+
+    Keys with a share of the rows over 1 / `most` are `most` at most: they are joined by broadcast, so
+    that no task gets all rows of a hot key; the rest by the usual join. Rows with a null key are left out.
+    """
+    least = (side.agg(F.sum(n)).first()[0] or 0) // most + 1
+    hot = F.broadcast(side.where(F.col(n) >= least))
+    rest = rows.join(hot.select(key), key, "left_anti").join(side.where(F.col(n) < least), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def first_mask(x: Column, masks: Iterable[int]) -> Column:
     """The index of the first mask that the bits of x don't touch, else null."""
     out = F.lit(None).cast("int")

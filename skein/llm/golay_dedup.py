@@ -8,6 +8,12 @@ some whole segment is followed by a whole one. So the key (X, codeword index of
 the keys (X, codeword indices of Y with up to one bit turned) of the other meet. The perfect binary
 Golay code (23, 12) gives every word one nearest codeword, within three bits; a 16-bit segment is a
 word with seven leading zeros, and its 17 nearby words decode to about five indices.
+
+The near-duplicate stage (first_of_each) has a setting of its own, for texts whose five-word shingles have a
+similarity of 0.8 or more. One word in about 45 may differ then, too much for three bits of shingles; so
+the SimHash is of the distinct words, with TABLES independent groups of 39 bits (in as many hashes of 64). A group's key is 16 of them
+as they are and a codeword index of a whole 23-bit Golay word: words that differ in two bits at most have a
+nearby codeword in common, so each has about six keys. A pair that meets is verified by its shingles.
 """
 
 from __future__ import annotations
@@ -22,12 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, hex16, table, written
+from ._common import by_key, components, hex16, remove, table, unused, written
 
 SEED = 42
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, the generator of the (23, 12) code.
 GENERATOR = 0xC75
 STEP = 1 << 15
+#: The stage's groups of bits, plain bits of a key, words of a shingle, least similarity, and the bits of 128 others by which a pair may differ.
+TABLES, PLAIN, WIDTH, SIMILAR, APART = 8, 16, 5, 0.8, 18
+#: Rows of one key that are looked at together, and neighbours by order that a row is compared with.
+BLOCK, BESIDE = 1 << 15, 8
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -116,7 +126,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids of distinct fingerprints fps(fp, id) that differ in three bits at most."""
+    """Pairs (a, b) of distinct fingerprints fps(fp) that differ in three bits at most."""
 
     def run(frames):
         for f in frames:
@@ -126,47 +136,283 @@ def links(fps: DataFrame) -> DataFrame:
                 k += index + probe
                 at += [i] * (len(index) + len(probe))
                 role += [True] * len(index) + [False] * len(probe)
-            got = f.iloc[at]
-            yield pd.DataFrame({"k": k, "index": role, "fp": got["fp"].values, "id": got["id"].values})
+            yield pd.DataFrame({"k": k, "index": role, "fp": f["fp"].values[at]})
 
-    keyed = fps.select("fp", "id").mapInPandas(run, "k long, index boolean, fp long, id long")
-    known = keyed.where("index").select("k", F.col("fp").alias("fa"), F.col("id").alias("a"))
-    asked = keyed.where("not index").select("k", F.col("fp").alias("fb"), F.col("id").alias("b"))
+    keyed = fps.select("fp").mapInPandas(run, "k long, index boolean, fp long")
+    known = keyed.where("index").select("k", F.col("fp").alias("a"))
+    asked = keyed.where("not index").select("k", F.col("fp").alias("b"))
     # Each of two fingerprints probes for the other; the probe of the lower one suffices.
-    hit = (F.col("fb") < F.col("fa")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= 3)
+    hit = (F.col("b") < F.col("a")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)
     return known.join(asked, "k").where(hit).select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of each row of docs(doc_id, text): fingerprints within three bits linked.
 
-    Equal fingerprints are one node, named by its least doc_id, so copies are never paired; the links
-    between different fingerprints are all found. Null texts count as empty: fingerprint 0. Repeated
-    rows stay as rows. Rows without a doc_id stay, linked like others, and name no component unless
-    nothing else does (component_id null). Other columns are ignored.
+    Distinct fingerprints are the nodes, so copies are never paired, and a doc_id with two texts joins
+    nothing; the links between different fingerprints are all found. Null texts count as empty:
+    fingerprint 0. Repeated rows stay as rows. Rows without a doc_id are linked like others, and name no
+    component unless nothing else does (component_id null). Other columns are ignored.
     """
     own = written(fingerprints(docs))
-    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = written(links(nodes.where("id is not null")))
-    root = components(found).select(F.col("node").alias("id"), "root")
-    named = nodes.join(root, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    found = written(links(nodes))
+    linked = components(found).join(nodes.select(F.col("fp").alias("node"), "id"), "node")
+    least = linked.groupBy("root").agg(F.min("id").alias("least"))
+    named = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
+    side = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id"), "n")
+    return by_key(own, written(side), "fp", "n").select("doc_id", "fp", "component_id")
+
+
+@cache
+def _lanes() -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(23)
+    return r.integers(1, 1 << 63, TABLES, dtype=np.uint64) | np.uint64(1), r.integers(1, 1 << 63, TABLES, dtype=np.uint64)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def sketch(text: str | None) -> np.ndarray:
+    """SimHashes (TABLES of 64 bits) of the text's distinct lower-cased words; zeros without a word."""
+    words = set(words_of(text))
+    if not words:
+        return np.zeros(TABLES, np.uint64)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    h.sort()
+    times, plus = _lanes()
+    votes = np.zeros(TABLES * 64, np.int64)
+    for at in range(0, len(h), STEP):
+        x = h[at : at + STEP, None] * times + plus
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        votes += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(h)).view(np.uint64)
+
+
+@cache
+def _syndromes() -> tuple[np.ndarray, np.ndarray]:
+    """The syndromes of the low 16 and of the high 7 bits of a 23-bit word."""
+    _, low = _errors()
+    unit = []
+    for b in range(16, 23):
+        v = 1 << b
+        for k in range(22, 10, -1):
+            if v >> k & 1:
+                v ^= GENERATOR << (k - 11)
+        unit.append(v)
+    high = np.zeros(1 << 7, np.int64)
+    for b in range(7):
+        high[1 << b : 2 << b] = high[: 1 << b] ^ unit[b]
+    return low, high
+
+
+def codes(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For 23-bit words the codeword indices of themselves and their 23 neighbours, sorted, and which are the first of equals."""
+    error, _ = _errors()
+    low, high = _syndromes()
+    near = word[..., None] ^ np.concatenate([[0], 1 << np.arange(23)])
+    index = (near ^ error[low[near & 0xFFFF] ^ high[near >> 16]]) >> 11
+    index.sort(-1)
+    fresh = np.ones(index.shape, bool)
+    fresh[..., 1:] = index[..., 1:] != index[..., :-1]
+    return index, fresh
+
+
+def postings(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the sketches (n, TABLES), keys, 128 check bits): about six of each table.
+
+    A key has the table's number, its plain bits and a nearby codeword; its check is the next two tables' hashes.
+    """
+    own = sketches.view(np.int64)
+    index, fresh = codes(own & 0x7FFFFF)
+    plain = (own >> 23) & ((1 << PLAIN) - 1)
+    key = ((np.arange(TABLES) << (PLAIN + 12)) | plain << 12)[..., None] | index
+    row, t, _ = np.nonzero(fresh)
+    return row, key[fresh], np.stack([sketches[row, (t + 1) % TABLES], sketches[row, (t + 2) % TABLES]], 1)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def pairs_of(key: np.ndarray, ids: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): of rows in order of (key, check), each with the middle of its key's rows that are near it.
+
+    The middle is the row nearest to the majority of the check bits: where copies differ from one original
+    in different places, the original. Rows that differ from it in over APART bits have a middle of their own,
+    and so on; once one has no row near it, those left are compared with the BESIDE before them in order.
+    So a row is in one pair for each of its keys, however many rows a key has.
+    """
+    a, b = [np.zeros(0, ids.dtype)], [np.zeros(0, ids.dtype)]
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    size = np.diff(cut)
+    two = cut[:-1][size == 2]
+    two = two[_apart(check[two], check[two + 1]) <= APART]
+    a.append(ids[two])
+    b.append(ids[two + 1])
+    for s, e in zip(cut[:-1][size > 2].tolist(), cut[1:][size > 2].tolist()):
+        left = np.arange(s, e)
+        while len(left) > 1:
+            c = check[left]
+            most = np.packbits(np.unpackbits(c.view(np.uint8).reshape(len(c), -1), axis=1).sum(0, dtype=np.int64) * 2 > len(c))
+            m = int(_apart(c, most.view(np.uint64)).argmin())
+            near = _apart(c, c[m]) <= APART
+            if near.sum() < 2:
+                break
+            a.append(ids[left[near]])
+            b.append(np.full(near.sum(), ids[left[m]]))
+            left = left[~near]
+        best, at = np.full(len(left), APART + 1), np.zeros(len(left), np.int64)
+        for lag in range(1, min(BESIDE, len(left) - 1) + 1):
+            apart = _apart(check[left[lag:]], check[left[:-lag]])
+            less = np.flatnonzero(apart < best[lag:]) + lag
+            best[less], at[less] = apart[less - lag], less - lag
+        hit = np.flatnonzero(best <= APART)
+        a.append(ids[left[hit]])
+        b.append(ids[left[at[hit]]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+
+
+def met(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of ids that pairs_of() finds in keyed(k, id, c, d); a key over BLOCK rows is looked at by blocks."""
+
+    def run(batches):
+        held = None
+        for b in _and_last(batches):
+            rows = None if b is None else [np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(4)]
+            if held is not None and rows is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            elif rows is None:
+                rows = held
+            if rows is None or not len(rows[0]):
+                continue
+            # The last key may go on in the next batch.
+            end = len(rows[0]) if b is None else int(np.searchsorted(rows[0], rows[0][-1]))
+            if b is not None and len(rows[0]) - end > BLOCK:
+                end = len(rows[0])
+            held = [x[end:] for x in rows]
+            if end:
+                a, z = pairs_of(rows[0][:end], rows[1][:end], np.stack(rows[2:], 1)[:end].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
+
+    ordered = keyed.repartition("k").sortWithinPartitions("k", "c", "d", "id")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _and_last(batches):
+    yield from batches
+    yield None
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of the text's runs of WIDTH words (of fewer words, all of them), in order."""
+    words = words_of(text)
+    n = max(1, len(words) - WIDTH + 1) if words else 0
+    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + WIDTH]), SEED) for i in range(n)), np.uint64, n)
+    return np.unique(h)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is SIMILAR or more; two empty ones are alike."""
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts(id, text) are similar by their shingles."""
+    ends = pairs.select(F.col("a").alias("id"), "a", "b").union(pairs.select(F.col("b").alias("id"), "a", "b"))
+    sides = texts.join(ends.hint("merge"), "id").groupBy("a", "b")
+    both = sides.agg(F.max(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("ta"), F.max(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("tb"))
+
+    def run(batches):
+        for x in batches:
+            a, b = x.column("a").to_numpy(), x.column("b").to_numpy()
+            held, keep = {}, []
+            for i, j, s, t in zip(a.tolist(), b.tolist(), x.column("ta"), x.column("tb")):
+                for k, one in ((i, s), (j, t)):
+                    if k not in held:
+                        held[k] = shingles(one.as_py())
+                keep.append(similar(held[i], held[j]))
+            keep = np.array(keep, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(id, doc_id, first) for each distinct (text, doc_id) of docs: id the text's hash, first the class's least doc_id.
+
+    A class: texts connected by links of five-word similarity 0.8 or more, as the keys find and the shingles
+    verify them. Texts are taken as equal by their 64-bit hash. Null texts count as empty; texts
+    without a word are alike. Rows without a doc_id are left out.
+    """
+    base = _with_id(docs).where("doc_id is not null")
+
+    def run(batches):
+        for b in batches:
+            # Of copies in a batch one is enough, as of all copies.
+            _, first, back = np.unique(b.column("id").to_numpy(), return_index=True, return_inverse=True)
+            made = [sketch(t.as_py()).tobytes() for t in b.column("text").take(pa.array(first))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), pa.array([made[i] for i in back], pa.binary())], ["doc_id", "id", "s"])
+
+    own = written(base.mapInArrow(run, "doc_id long, id long, s binary"))
+    nodes = own.dropDuplicates(["id"]).select("id", "s")
+
+    def post(batches):
+        for b in batches:
+            if b.num_rows:
+                s = np.frombuffer(b"".join(b.column("s").to_pylist()), np.uint64).reshape(-1, TABLES)
+                row, k, check = postings(s)
+                cols = [pa.array(k), b.column("id").take(pa.array(row)), *map(pa.array, check.view(np.int64).T)]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "id", "c", "d"])
+
+    pairs = written(met(nodes.mapInArrow(post, "k long, id long, c long, d long")))
+    ends = pairs.union(pairs.select("b", "a")).toDF("id", "other")
+    active = ends.groupBy("id").agg(F.count("*").alias("n"))
+    texts = base.groupBy("id").agg(F.first("text").alias("text"))  # copies go before the shuffle
+    texts = written(texts.join(active.select("id").hint("merge"), "id"))
+    # First everyone with the partner that most others have too, then only what that left apart.
+    most = ends.join(active.toDF("other", "n"), "other").groupBy("id").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
+    first = written(verified(most.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), texts))
+    top = written(components(first))
+    rest = pairs.join(top.toDF("a", "ra"), "a", "left").join(top.toDF("b", "rb"), "b", "left")
+    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    every = written(first.union(verified(rest, texts)))
+    roots = components(every)
+    for done in (pairs, texts, first, top, every):
+        remove(done)
+    least = own.groupBy("id").agg(F.min("doc_id").alias("least"))
+    linked = least.join(roots.withColumnRenamed("node", "id"), "id")
+    firsts = linked.groupBy("root").agg(F.min("least").alias("first"))
+    named = linked.join(firsts, "root").select("id", "first")
+    side = least.join(named, "id", "left").select("id", F.coalesce("first", "least").alias("first"))
+    return own.select("id", "doc_id").distinct().join(side, "id")
+
+
+def _with_id(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("id"), text.alias("text"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's; of repeated rows with that doc_id one stays.
+    """Of each class of near_classes() the row with the least doc_id; of repeated rows of that text and doc_id one.
 
-    Rows without a doc_id can't be told apart: they all stay.
+    Rows without a doc_id can't be told apart: they all stay. Columns stay as they are. The texts move once for
+    the comparison and once for the choice, however many there are.
     """
-    named = docs.where("doc_id is not null")
-    found = written(classes(named).select("doc_id", "component_id"))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    out = named.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = kept.where("n > 1").select("doc_id")
-    if again.limit(1).count():
-        out = out.unionByName(named.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where("doc_id is null"))
+    i, d = unused(docs, "id", "doc")
+    kept = written(near_classes(docs).where("doc_id = first").select(F.col("id").alias(i), F.col("doc_id").alias(d)))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.where("doc_id is not null").withColumns({i: F.xxhash64(text), d: F.col("doc_id").cast("long")})
+    out = named.dropDuplicates([i, d]).join(kept.hint("merge"), [i, d], "left_semi")
+    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op3_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each document, by classes() over the whole table."""
     return classes(table(spark, sf_dir, "documents")).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")

@@ -15,11 +15,11 @@ import math
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, unused
 
 #: Documents of a block, blocks of a row of the plan, seed of the order within a source.
 BLOCK, PERIOD, SEED = 32, 1000, 17
@@ -56,23 +56,10 @@ def schedule(blocks: list[int], weights: list[float]) -> list[list[int]]:
     return slots
 
 
-def ranked(docs: DataFrame, source: str) -> DataFrame:
-    """docs with `rank` (from 0), its place within its source by a hash of doc_id.
-
-    Ranks are counted in groups by the first bits of the hash, about GROUP documents each, and the
-    groups' counts are summed up: no source is sorted in one task.
-    """
-    h = F.xxhash64(F.lit(SEED), F.col("doc_id"))
-    n = docs.select("doc_id").count()
-    bits = max(0, math.ceil(math.log2(max(1, n) / GROUP)))
-    group = F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
-    keyed = docs.withColumns({"_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_group": group, "_h": h})
-    counts = keyed.groupBy("_source", "_group").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("_source").orderBy("_group").rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.select("_source", "_group", F.coalesce(before, F.lit(0)).alias("_before"))
-    rest = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")])
-    place = F.row_number().over(W.partitionBy("_source", "_group").orderBy("_h", "doc_id", rest))
-    return keyed.withColumn("_at", place).join(counts, ["_source", "_group"]).withColumn("rank", F.col("_before") + F.col("_at") - 1).drop("_h", "_at", "_before", "_group")
+def spread(docs: DataFrame) -> Column:
+    """The hash that orders a source's rows: of doc_id, and where there is none of the whole row."""
+    rest = [c for c, t in docs.dtypes if not t.startswith("map")]
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(SEED), *rest)).otherwise(F.xxhash64(F.lit(SEED), F.col("doc_id")))
 
 
 def mix(docs: DataFrame, weight: Callable[[str, int], float] | dict[str, float] | None = None, source: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
@@ -80,11 +67,14 @@ def mix(docs: DataFrame, weight: Callable[[str, int], float] | dict[str, float]
 
     weight: a source's weight by name, or from (name, rows); by default the square root of its rows.
     Sources that it doesn't name weigh 0 and come last, in proportion to their rows. Null sources count
-    as ''. Positions rise with the slots; after a source's last, shorter block some are left out.
-    Ties and repeated rows get places of their own; an empty table stays empty. The sources, with
-    their counts and a slot for each block, are held on the driver and sent to the executors in rows
-    of `period` blocks; `period` bears on no slot. Columns of docs named block,
-    slot or position are replaced.
+    as ''. Within its source a row's rank is its place by a hash of doc_id, rows without one by a hash of
+    the row; equal hashes by the other columns. Ranks are counted in groups by the first bits of the
+    hash, about GROUP rows each, and the groups' counts are summed up: no source is sorted in one task.
+    Positions rise with the slots; after a source's last, shorter block some are left out.
+    Repeated rows get places of their own; an empty table stays empty. Columns of docs named block, slot
+    or position are replaced, all others stay as they are. The sources with their counts, and a slot for each
+    block (rows / `block` numbers), are made on the driver; they come back as a table of rows of `period`
+    slots that the groups' counts are joined with, not the documents. `period` bears on no slot.
     """
     docs = docs.drop("block", "slot", "position")
     key = F.coalesce(F.col(source).cast("string"), F.lit(""))
@@ -101,12 +91,28 @@ def mix(docs: DataFrame, weight: Callable[[str, int], float] | dict[str, float]
             for i, slots in zip(part, schedule([blocks[i] for i in part], ws)):
                 rows += [(names[i], k // period, [base + t for t in slots[k : k + period]]) for k in range(0, len(slots), period)]
             base += sum(blocks[i] for i in part)
-    plan = docs.sparkSession.createDataFrame(rows, "_source string, _row long, _slots array<long>")
-    placed = ranked(docs, source).withColumn("block", F.floor(F.col("rank") / block))
-    placed = placed.withColumn("_row", F.floor(F.col("block") / period)).join(F.broadcast(plan), ["_source", "_row"])
-    slot = F.get("_slots", F.pmod("block", F.lit(period)).cast("int"))
-    return placed.withColumn("slot", slot).select(*docs.columns, "block", "slot", (F.col("slot") * block + F.pmod(F.col("rank"), F.lit(block))).alias("position"))
+    s, g, h, at, before, first, held = unused(docs, "s", "g", "h", "at", "before", "first", "held")
+    plan = docs.sparkSession.createDataFrame(rows, f"`{s}` string, r long, part array<long>")
+    bits = max(0, math.ceil(math.log2(max(1, sum(n.values())) / GROUP)))
+    group = lambda x: F.shiftrightunsigned(x, 64 - bits) if bits else F.lit(0).cast("long")
+    sums = F.sum("n").over(W.partitionBy(s).orderBy(g).rowsBetween(W.unboundedPreceding, -1))
+    counts = docs.groupBy(key.alias(s), group(spread(docs)).alias(g)).agg(F.count("*").alias("n"))
+    counts = counts.withColumn(before, F.coalesce(sums, F.lit(0).cast("long")))
+    row = lambda x: F.floor(x / (block * period))
+    spans = counts.withColumn("r", F.explode(F.sequence(row(F.col(before)), row(F.col(before) + F.col("n") - 1))))
+    parts = F.array_sort(F.collect_list(F.struct("r", "part")))
+    slots = spans.join(plan, [s, "r"]).groupBy(s, g).agg(F.first(before).alias(before), F.min("r").alias(first), parts.alias(held))
+    slots = slots.withColumn(held, F.flatten(F.col(held)["part"]))
+    keyed = docs.withColumns({s: key, h: spread(docs)}).withColumn(g, group(F.col(h)))
+    ties = [c for c, t in docs.dtypes if not t.startswith("map") and c != "doc_id"]
+    placed = keyed.withColumn(at, F.row_number().over(W.partitionBy(s, g).orderBy(h, "doc_id", *ties)))
+    rank = F.col(before) + F.col(at) - 1
+    placed = placed.join(slots, [s, g]).select(*[F.col(c) for c in docs.columns], rank.alias(at), F.col(first), F.col(held))
+    own = F.floor(F.col(at) / block)
+    slot = F.get(held, (own - F.col(first) * period).cast("int"))
+    return placed.select(*docs.columns, own.alias("block"), slot.alias("slot"), (slot * block + F.pmod(F.col(at), F.lit(block))).alias("position"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block, slot and position, by mix() with its default weights."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
