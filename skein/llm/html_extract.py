@@ -22,14 +22,16 @@ TOKEN = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*?)(?:>|\Z)|<[!?/](?=[^A-Za-z]|[A-Za-z]*)[^>]*(?:>|\Z)""",
     re.S,
 )
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROP = RAW | {"head", "nav", "footer", "aside", "form", "noscript", "template", "svg", "math", "canvas", "button", "select", "object", "audio", "video", "menu", "dialog", "map", "fieldset", "label", "datalist", "option"}
+#: Never text. The first are blocks; the others stand within a line, which goes on after them.
+DROP_BLOCKS = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "title"}
+DROP = RAW | DROP_BLOCKS | {"noscript", "template", "svg", "math", "canvas", "button", "select", "object", "audio", "video", "map", "datalist", "option"}
 BLOCKS = {
     "html", "body", "address", "article", "blockquote", "center", "dd", "details", "div", "dl", "dt", "figcaption",
     "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "ol", "p", "pre", "search",
-    "section", "summary", "table", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *DROP,
+    "section", "summary", "table", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *DROP_BLOCKS,
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An opening tag ends an open element of these, unless one of the others is open above it.
@@ -40,37 +42,39 @@ ENDS = {
     "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
 SCOPE = {"table", "td", "th", "caption", "button", "object", "html", "body"}
-#: Words of a class, id or role that mark what isn't the article, and those that mark the article.
+#: Words of a class, id or role that mark what isn't the article, those that do so only for a part of little text
+#: or much of it in links, and those that mark the article.
 AWAY = set(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall "
     "social share sharing breadcrumb breadcrumbs pagination pager menu menus nav navbar navigation sidebar sidebars aside "
     "widget widgets related recommended recommendations footer masthead comment comments disqus respond replies reply "
-    "toolbar login search skip header complementary contentinfo navigation dialog alertdialog hidden outbrain taboola "
-    "feedback rating byline toc tags teaser teasers reactions discussion trending popular topbar topnav subnav mainnav sitenav sitemap disclaimer legal copyright".split()
+    "toolbar login search skip complementary contentinfo navigation dialog alertdialog outbrain taboola "
+    "byline toc topbar topnav subnav mainnav sitenav sitemap".split()
 )
+DOUBTFUL = set("header hidden feedback rating tags teaser teasers reactions discussion trending popular disclaimer legal copyright".split())
 NOT = {"with", "has", "no", "without", "is", "show", "below", "above"}
 HERE = {"article", "articlebody", "content", "main", "story", "post", "entry", "text", "body"}
 STEMS = re.compile("sidebar|comment|advert|sponsor|cookie|newsletter|breadcrumb|navbar|footer|masthead|disqus|popup|subscri|pagina")
-#: Elements that are open at once; those in deeper ones are read as if beside them.
-DEEPEST = 512
+#: A doubtful part stays if it has so many characters and no more than this share of them in links.
+DOUBT_CHARS, DOUBT_LINKS = 80, 0.3
+PROSE = {"p", "pre", "blockquote", "li", "td", "dd", "table", "figure", "span", "em", "strong", "b", "i", "a", *HEADINGS}
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Node:
-    __slots__ = ("name", "up", "kids", "away", "here", "points", "depth")
+    __slots__ = ("name", "up", "kids", "away", "doubt", "here", "points")
 
-    def __init__(self, name: str, up: Node | None, away: bool = False, here: bool = False):
-        self.name, self.up, self.kids, self.away, self.here, self.points = name, up, [], away, here, 0.0
-        self.depth = up.depth + 1 if up is not None else 0
+    def __init__(self, name: str, up: Node | None, away: bool = False, doubt: bool = False, here: bool = False):
+        self.name, self.up, self.kids, self.away, self.doubt, self.here, self.points = name, up, [], away, doubt, here, 0.0
 
 
-def marks(name: str, attrs: str) -> tuple[bool, bool]:
-    """(not the article, the article), by the element's class, id, role and visibility."""
-    away = here = False
+def marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
+    """(not the article, perhaps not, the article), by the element's class, id, role and visibility."""
+    away = doubt = here = False
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("hidden",) or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             away = True
         elif key in ("class", "id", "role", "itemprop"):
             for one in value.split():
@@ -78,20 +82,34 @@ def marks(name: str, attrs: str) -> tuple[bool, bool]:
                 if not words:
                     continue
                 here |= words[-1] in HERE or "".join(words) in HERE
-                if not NOT & set(words) and (words[0] in AWAY or words[-1] in AWAY or STEMS.match(words[0]) or STEMS.match(words[-1])):
-                    away = True
-    return away and name not in ("html", "body"), here
+                if not NOT & set(words):
+                    ends = {words[0], words[-1]}
+                    away |= bool(ends & AWAY) or any(map(STEMS.match, ends))
+                    doubt |= bool(ends & DOUBTFUL)
+    top = name in ("html", "body")
+    return away and not top, doubt and not top and name not in PROSE, here
 
 
 def parse(page: str) -> Node:
-    """A tree of Nodes and strings; forgiving: what isn't closed ends with its parent."""
+    """A tree of Nodes and strings; forgiving: what isn't closed ends with its parent.
+
+    The elements that are open are counted by name, so that looking for one that isn't takes no walk
+    through all of them, however deep they are.
+    """
     root = Node("html", None)
     now, at, n = root, 0, len(page)
+    count: dict[str, int] = {}
 
     def text(s: str) -> None:
         if s:
             now.kids.append(html.unescape(s))
 
+    def rise(to: Node) -> None:
+        nonlocal now
+        while now is not to:
+            count[now.name] -= 1
+            now = now.up
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -111,23 +129,25 @@ def parse(page: str) -> Node:
             if name == "br":
                 now.kids.append(Node("br", now))
                 continue
+            if not count.get(name):
+                continue
             inline, x = name not in BLOCKS, now
             while x is not root and x.name != name and not (inline and x.name in BLOCKS):
                 x = x.up
             if x.name == name and x is not root:
-                now = x.up
+                rise(x.up)
             continue
-        if name in ("html", "body") and (name == "html" or any(k for k in _path(now) if k.name == "body")):
+        if name in ("html", "body") and (name == "html" or count.get("body")):
             continue
-        if name in BLOCKS:
+        if name in BLOCKS and count.get("p"):
             x = now
             while x is not root and x.name != "p" and x.name not in SCOPE:
                 x = x.up
             if x.name == "p":
-                now = x.up
+                rise(x.up)
         if name in HEADINGS and now.name in HEADINGS:
-            now = now.up
-        if name in ENDS:
+            rise(now.up)
+        if name in ENDS and any(map(count.get, ENDS[name][0])):
             close, stop = ENDS[name]
             x, last = now, None
             while x is not root and x.name not in stop:
@@ -135,21 +155,21 @@ def parse(page: str) -> Node:
                     last = x
                 x = x.up
             if last is not None:
-                now = last.up
-        if name == "a":
+                rise(last.up)
+        if name == "a" and count.get("a"):
             x = now
             while x is not root and x.name != "a" and x.name not in BLOCKS:
                 x = x.up
             if x.name == "a":
-                now = x.up
-        away, here = marks(name, m["attrs"])
-        node = Node(name, now, away, here)
+                rise(x.up)
+        node = Node(name, now, *marks(name, m["attrs"]))
         now.kids.append(node)
         if name in RAW:
             e = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = e.end() if e else n
-        elif name not in VOID and not (m["attrs"].endswith("/") and name not in BLOCKS) and now.depth < DEEPEST:
+        elif name not in VOID and not (name in ("svg", "math") and m["attrs"].endswith("/")):  # others aren't closed by a slash
             now = node
+            count[name] = count.get(name, 0) + 1
     return root
 
 
@@ -161,6 +181,7 @@ def _path(x: Node | None):
 
 def prune(top: Node, by_mark: bool) -> None:
     """Takes out what isn't the article. Headers stay without their other parts if they are an article's and hold its heading."""
+    size = measure(top) if by_mark else {}
     todo = [(top, False)]
     while todo:
         x, inside = todo.pop()
@@ -170,6 +191,10 @@ def prune(top: Node, by_mark: bool) -> None:
             if isinstance(k, Node):
                 if k.name in DROP or (by_mark and k.away and not (k.name in ("article", "main") and k.here)):
                     continue
+                if by_mark and k.doubt:
+                    chars, linked, _ = size[id(k)]
+                    if chars < DOUBT_CHARS or linked > DOUBT_LINKS * chars:
+                        continue
                 if k.name == "header" and by_mark:
                     own = [y for y in _below(k) if y.name in HEADINGS] if inside else []
                     kept += own
@@ -328,4 +353,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text, by extract() over the whole table."""
     return extract(table(spark, sf_dir, "pages"))
