@@ -31,7 +31,7 @@ CONTEXT = re.compile(
 #: Only texts with one of these can have such a context.
 HINT = re.compile(r"pass|pwd|secret|token|credential|bearer|auth|key|code", re.I | re.A)
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-#: Common password words, in order of use.
+#: Common password words, in order of use; they come before the corpus's own.
 WORDS = (
     "password 123456 qwerty dragon master monkey letmein login welcome admin princess sunshine football shadow "
     "superman batman trustno iloveyou secret summer winter spring autumn hello freedom whatever computer internet "
@@ -39,13 +39,29 @@ WORDS = (
     "for this that here insert enter replace todo dummy placeholder redacted hidden unknown server client public "
     "private key pass word code database service account system config env name email phone home work love money"
 ).split()
-#: Guesses (log2) from which a value counts as a secret, and characters beyond which it is all brute force.
-LEAST_BITS, LONGEST = 40.0, 256
+#: Guesses (log2) from which a value counts as a secret; the corpus's words that have a rank, and their longest.
+LEAST_BITS, MOST_WORDS, LONGEST_WORD = 40.0, 30_000, 24
+
+
+def ranks_of(words: list[str] = WORDS) -> dict[str, float]:
+    """log2 of each word's place in the list, from 1 bit on; of a repeated word the first."""
+    return {w: math.log2(i + 2) for i, w in reversed(list(enumerate(words)))}
+
+
+def corpus_ranks(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, float]:
+    """Ranks of the `most` most frequent words of three to LONGEST_WORD letters a-z in docs(text), after WORDS.
+
+    Every word of every text is counted, partly before the shuffle; the `most` that come to the driver are the bound.
+    """
+    low = F.explode(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z]+")).alias("w")
+    counted = docs.select(low).where(F.length("w").between(3, LONGEST_WORD)).groupBy("w").agg(F.count("*").alias("n"))
+    found = counted.where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()
+    return ranks_of([*WORDS, *(r["w"] for r in found)])
 
 
 @cache
 def _ranks() -> dict[str, float]:
-    return {w: math.log2(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
+    return ranks_of()
 
 
 @cache
@@ -68,39 +84,36 @@ def alphabet(value: str) -> int:
     return max(n, 2)
 
 
-def guess_bits(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+def guess_bits(value: str, ranks: dict[str, float] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
     """log2 of the guesses of the cheapest segmentation of `value`, and its spans (start, end, kind).
 
     cost[e] = min over spans ending at e of cost[start] + the span's own cost + one bit for the
     choice of kind: words by rank (upper case and leet add bits), dates, repeats of one character,
     walks along keyboard rows or through successive characters, and brute force for each character.
-    A value over LONGEST characters is one brute-force span of its distinct characters.
+    A value of any length is segmented. To part a repeat or a walk costs more than to take it
+    whole, so its spans start at its first character or within reach of a word or date that ends in it.
     """
     n = len(value)
     each = math.log2(alphabet(value))
-    if n > LONGEST:
-        return math.log2(max(2, len(set(value)))) * len(set(value)), [(0, n, "brute")]
     low = value.lower()
-    plain, ranks, beside = low.translate(_LEET), _ranks(), _beside()
+    ranks = _ranks() if ranks is None else ranks
+    plain, beside = low.translate(_LEET), _beside()
     best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
-    longest = max(map(len, ranks))
     dates: dict[int, list[int]] = {}
     for s in range(n):
         if value[s].isdigit() and (m := _DATE.match(value, s)):
             dates.setdefault(m.end(), []).append(s)
-    run = walk = 0
+    run = walk = 1
     for e in range(1, n + 1):
         c = value[e - 1]
         found = [(best[e - 1][0] + each, e - 1, "brute")]
         run = run + 1 if e > 1 and c == value[e - 2] else 1
-        if run >= 3:
-            found += [(best[e - k][0] + 1 + each + math.log2(k), e - k, "repeat") for k in range(3, run + 1)]
+        found += [(best[e - k][0] + 1 + each + math.log2(k), e - k, "repeat") for k in range(max(3, run - LONGEST_WORD), run + 1)]
         step = e > 1 and (low[e - 2 : e] in beside or (c.isalnum() and value[e - 2].isalnum() and abs(ord(c) - ord(value[e - 2])) == 1))
         walk = walk + 1 if step else 1
-        if walk >= 3:
-            found += [(best[e - k][0] + 1 + 6 + math.log2(k), e - k, "walk") for k in range(3, walk + 1)]
+        found += [(best[e - k][0] + 1 + 6 + math.log2(k), e - k, "walk") for k in range(max(3, walk - LONGEST_WORD), walk + 1)]
         found += [(best[s][0] + 1 + 15, s, "date") for s in dates.get(e, ())]
-        for s in range(max(0, e - longest), e - 2):
+        for s in range(max(0, e - LONGEST_WORD), e - 2):
             rank = ranks.get(low[s:e])
             if rank is None and (rank := ranks.get(plain[s:e])) is not None:
                 rank += 2
@@ -119,6 +132,12 @@ def guess_bits(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[n][0], spans[::-1]
 
 
+def plain_word(value: str) -> bool:
+    """Letters only, perhaps with hyphens or apostrophes, in lower or upper case or capitalised: a word, however rare."""
+    parts = re.split("[-']", value)
+    return all(x.isalpha() and x in (x.lower(), x.upper(), x.capitalize()) for x in parts)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """The fixed patterns' matches, leftmost and non-overlapping for each kind, in code points."""
     found = []
@@ -130,29 +149,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def guess_spans(text: str, least_bits: float = LEAST_BITS) -> list[tuple[int, int, str]]:
-    """Values in credential contexts whose cheapest segmentation needs 2^least_bits guesses."""
+def guess_spans(text: str, ranks: dict[str, float] | None = None, least_bits: float = LEAST_BITS) -> list[tuple[int, int, str]]:
+    """Values in credential contexts whose cheapest segmentation needs 2^least_bits guesses; plain_word()s aren't credentials."""
     if not HINT.search(text):
         return []
     out = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?")
-        # A plain word isn't a credential, however rare: only letters, in one case.
-        if len(value) < 6 or re.fullmatch(r"[^\W\d_]+|[^\W\d_]+(?:[-'][^\W\d_]+)+", value):
-            continue
-        if guess_bits(value)[0] >= least_bits:
+        if len(value) >= 6 and not plain_word(value) and guess_bits(value, ranks)[0] >= least_bits:
             out.append((m.start(1), m.start(1) + len(value), "guess"))
     return out
 
 
-def all_spans(text: str) -> list[tuple[int, int, str]]:
-    return sorted([*base_spans(text), *guess_spans(text)], key=lambda x: (x[0], KINDS.index(x[2])))
+def all_spans(text: str, ranks: dict[str, float] | None = None) -> list[tuple[int, int, str]]:
+    return sorted([*base_spans(text), *guess_spans(text, ranks)], key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def secret_values(text: str) -> list[tuple[int, int]]:
+def secret_values(text: str, ranks: dict[str, float] | None = None) -> list[tuple[int, int]]:
     """Merged spans of the secrets alone, without the names before them."""
     spans = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if NAMES.search(text) else []
-    spans += [(s, e) for s, e, k in all_spans(text) if k != "assign"]
+    spans += [(s, e) for s, e, k in all_spans(text, ranks) if k != "assign"]
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and s <= out[-1][1]:
@@ -162,8 +178,8 @@ def secret_values(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def redacted(text: str, mark: str = "[secret]") -> str:
-    for s, e in reversed(secret_values(text)):
+def redacted(text: str, ranks: dict[str, float] | None = None, mark: str = "[secret]") -> str:
+    for s, e in reversed(secret_values(text, ranks)):
         text = text[:s] + mark + text[e:]
     return text
 
@@ -175,17 +191,20 @@ def _joined(spans) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """For each row of docs(doc_id, text): counts by kind, the digest of the fixed spans, and all spans.
 
+    Guesses are counted with the words of docs by rank (corpus_ranks).
+
     Null texts count as empty: zero counts, the digest of the empty string, no spans. Texts are
     scanned whole; repeated rows stay as rows; other columns are ignored.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs))  # MOST_WORDS words
 
     def run(batches):
         for b in batches:
             rows = []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 t = t or ""
-                base, spans = base_spans(t), all_spans(t)
+                base, spans = base_spans(t), all_spans(t, sent.value)
                 kinds = [x[2] for x in spans]
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
                 rows.append((d, *map(kinds.count, KINDS), digest, _joined(spans)))
@@ -199,15 +218,20 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with secrets replaced in `text` and `n_chars` counted again; null texts stay null."""
+    """docs with secrets replaced in `text` and `n_chars` counted again; null texts stay null.
+
+    Guesses are counted with the words of docs by rank; rows stay as they are otherwise, repeated ones too.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs))
 
     @F.pandas_udf("string")
     def clean(t):
-        return t.map(lambda x: redacted(x) if isinstance(x, str) else None)
+        return t.map(lambda x: redacted(x, sent.value) if isinstance(x, str) else None)
 
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each document, by scan() over the whole table."""
     return scan(table(spark, sf_dir, "documents"))
