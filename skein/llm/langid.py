@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -15,8 +17,19 @@ from ._common import fold, table
 #: Bins of the hashed letter n-grams (a power of two), and documents learned from for each language at most.
 BINS, MOST_DOCS = 1 << 16, 600
 ORDERS = (1, 2, 3, 4)
-#: Characters of a step; a longer text is worked on in several, with the counts of all.
+#: Characters of a step; a longer text is worked on in several, cut where no letter stands, with the counts of all.
 STEP = 1 << 18
+GAP = re.compile(r"[\W\d_]")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of STEP characters, each up to the next that isn't a letter: no word is cut."""
+    at = 0
+    while at < len(text):
+        m = GAP.search(text, min(at + STEP, len(text)))
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
 
 
 @cache
@@ -49,8 +62,8 @@ def grams(held: np.ndarray, order: int) -> np.ndarray:
 def counts(text: str) -> np.ndarray:
     """How often each bin of each order occurs in the words of a text: an array (orders, BINS)."""
     out = np.zeros((len(ORDERS), BINS), np.float32)
-    for at in range(0, len(text), STEP):
-        held, _ = words_of(text[at : at + STEP])
+    for part in pieces(text):
+        held, _ = words_of(part)
         for i, n in enumerate(ORDERS):
             out[i] += np.bincount(grams(held, n), minlength=BINS)
     return out
@@ -76,8 +89,8 @@ class Languages:
     def words(self, text: str) -> np.ndarray:
         """log likelihood of each word of the text for each language: the mean over orders of the n-grams' that end in it."""
         parts = []
-        for at in range(0, len(text), STEP):
-            held, start = words_of(text[at : at + STEP])
+        for part in pieces(text):
+            held, start = words_of(part)
             if not len(start):
                 continue
             ll = np.zeros((len(held), len(self.names)), np.float32)
@@ -86,26 +99,26 @@ class Languages:
             parts.append(np.add.reduceat(ll, start, 0) / (len(ORDERS) - 1))
         return np.concatenate(parts) if parts else np.zeros((0, len(self.names)), np.float32)
 
-    def mixture(self, text: str, rounds: int = 8) -> tuple[np.ndarray, list[int]]:
-        """(proportions of the words by language, the selected languages).
+    def mixture(self, text: str, rounds: int = 8) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """(proportions of the words by language, the selected languages, mean probability of each for a word).
 
         Expectation-maximisation of the proportions for the words' likelihoods. Languages enter the
         set, best first, as long as the log likelihood grows by more than log(words) / 2 + 2.
         """
         ll = self.words(text).astype(np.float64)
         if not len(ll):
-            return np.full(len(self.names), 1 / len(self.names)), []
+            return np.full(len(self.names), 1 / len(self.names)), [], np.zeros(len(self.names))
         total = ll.sum(0)
         first = int(total.argmax())
         share = np.zeros(len(self.names))
         share[first] = 1.0
         if len(self.names) == 1:
-            return share, [first]
+            return share, [first], share
         like = np.exp(ll - ll.max(1, keepdims=True))
         tail, chosen, score = ll.max(1).sum(), [first], total[first]
         need = np.log(len(ll)) / 2 + 2
-        weight = np.full(len(self.names), 1 / len(self.names))
-        for _ in range(rounds):
+        weight = likely = (like / like.sum(1, keepdims=True)).mean(0)  # the first round's, from equal proportions
+        for _ in range(rounds - 1):
             r = like * weight
             r /= r.sum(1, keepdims=True)
             weight = r.mean(0)
@@ -124,27 +137,31 @@ class Languages:
             chosen, score = trial, got
             share[:] = 0
             share[trial] = w
-        return share, chosen
+        return share, chosen, likely
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): the largest share of the mixture times the evidence for it; und, 0 without a letter."""
+    def predict(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
+        """(language, score, the selected languages, their shares), largest share first; und, 0 and none without a letter.
+
+        The score is the mean probability that a word of the text is of that language, each language
+        taken as equally likely before: near 1 for a clear text in one language, less for a mixed or doubtful one.
+        """
         if not text or not any(map(str.isalpha, text)) or not self.names:
-            return "und", 0.0
-        share, _ = self.mixture(text)
-        best = int(share.argmax())
-        return self.names[best], float(min(1.0, share[best]))
+            return "und", 0.0, [], []
+        share, chosen, likely = self.mixture(text)
+        chosen = sorted(chosen, key=lambda k: -share[k]) or [int(share.argmax())]
+        return self.names[chosen[0]], float(min(1.0, likely[chosen[0]])), [self.names[k] for k in chosen], [float(share[k]) for k in chosen]
 
 
 def learn(docs: DataFrame, most: int = MOST_DOCS) -> Languages:
     """Models from the text and lang of documents whose crc32 of doc_id mod 3 isn't 1.
 
     Every language that occurs is learned, each from about `most` of its documents, chosen by the
-    hash of doc_id (all, if it has fewer). Null langs, texts and ids are left out.
+    hash of doc_id and text (all, if it has fewer). Null langs, texts and ids are left out.
     """
     own = docs.where("doc_id is not null and lang is not null and text is not null").where(fold(F.col("doc_id")) % 3 != 1)
     n = own.groupBy("lang").agg(F.count("*").alias("of_lang"))
     span = 1 << 30
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.ceil(F.lit(float(most * span)) / F.col("of_lang"))
+    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < F.ceil(F.lit(float(most * span)) / F.col("of_lang"))
     picked = own.select("doc_id", "lang", "text").join(F.broadcast(n), "lang").where(pick)
 
     def run(batches):
@@ -181,13 +198,15 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
         m = Languages(names, logp.astype(np.float32))
         for b in batches:
             out = [m.predict(t) for t in b.column("text").to_pylist()]
-            cols = [b.column("doc_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score"])
+            types = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
+            cols = [b.column("doc_id"), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score", "langs", "shares"])
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return got.select("doc_id", (fold(F.col("doc_id")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
+    return got.select("doc_id", (fold(F.col("doc_id")) % 3 == 1).alias("held_out"), "lang_pred", "score", "langs", "shares")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by models learned from the contract's part of the table; langs and shares more."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs))
