@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ._common import fold, table
 
-#: Bytes of a passage, and documents that the model learns from at most, with passages of each.
-PASSAGE, MOST_ROWS, MOST_PASSAGES = 512, 3000, 64
+#: Bytes of a passage; rows that the model learns from at most, and bytes of the longest of them; passages of a step.
+PASSAGE, MOST_ROWS, MOST_BYTES, STEP = 512, 3000, 1 << 20, 1 << 12
 KINDS = 16
 FEATURES = KINDS * KINDS + 11
 
@@ -162,41 +162,67 @@ class Attention:
                     setattr(self, n, new.astype(np.float32))
         return self
 
-    def score(self, texts: list[str | None], step: int = 1 << 12) -> np.ndarray:
-        """Scores of the texts, in steps of about `step` passages; a longer text is a step of its own."""
-        out, part, size = [], [], 0
-        for t in texts:
-            part.append((t or "").encode())
-            size += max(1, len(part[-1]) // PASSAGE)
+    def long(self, text: bytes, step: int = STEP) -> float:
+        """The score of a text of many passages: all are encoded, `step` at a time, and weighed together at the end.
+
+        The sums of weights and of weighted passages are kept with the greatest logit so far, so the memory doesn't
+        grow with the text. (A passage's first words are compared with those before within its step.)
+        """
+        top, total, held = -np.inf, 0.0, np.zeros(len(self.c))
+        for at in range(0, len(text), step * PASSAGE):
+            h = np.tanh(passages([text[at : at + step * PASSAGE]])[0] @ self.W)
+            e = (np.tanh(h @ self.V) * (1 / (1 + np.exp(-(h @ self.U))))) @ self.w
+            new = max(top, float(e.max()))
+            old, e = np.exp(top - new), np.exp(e - new)
+            total, held, top = total * old + e.sum(), held * old + e @ h, new
+        return float(1 / (1 + np.exp(-np.clip(held / total @ self.c + self.b[0], -30, 30))))
+
+    def score(self, texts: list[str | None], step: int = STEP) -> np.ndarray:
+        """Scores of the texts, in steps of about `step` passages; a text of more goes through long()."""
+        out, part, at, size = np.zeros(len(texts)), [], [], 0
+
+        def settle() -> None:
+            if part:
+                out[at] = self.forward(*passages(part))[0]
+                part.clear()
+                at.clear()
+
+        for i, t in enumerate(texts):
+            t = (t or "").encode()
+            if len(t) > step * PASSAGE:
+                out[i] = self.long(t, step)
+                continue
+            part.append(t)
+            at.append(i)
+            size += max(1, len(t) // PASSAGE)
             if size >= step:
-                out.append(self.forward(*passages(part))[0])
-                part, size = [], 0
-        if part:
-            out.append(self.forward(*passages(part))[0])
-        return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
+                settle()
+                size = 0
+        settle()
+        return out
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Attention | float:
     """Fit on the labels that aren't held out (crc32 of doc_id mod 5 isn't 0), of at most `most` documents.
 
-    Those with the least hash of doc_id are taken; a document with several labels counts as 1 if any
-    is; of a very long one MOST_PASSAGES passages, evenly spread, are learned from. Null labels and ids
+    Those with the least hash of doc_id are taken, among texts of MOST_BYTES at most (of others no passage is
+    left out, here or in scoring, but they aren't learned from); a document with several labels counts as 1 if any
+    is; a doc_id with several rows gives as many, and `most` rows in all. Null labels and ids
     are left out. Without rows of both labels the model is a constant: that label's, or 0.5.
     """
     own = labels.where("doc_id is not null and quality is not null").where(fold(F.col("doc_id")) % 5 != 0)
-    picked = own.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    own = own.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
+    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches):
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
                 x, _ = passages([(t or "").encode()])
-                if len(x) > MOST_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, MOST_PASSAGES).astype(int)]
                 cols = [pa.array([y], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([x.astype(np.float16).tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["y", "n", "x"])
 
-    bags = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES)
+    bags = short.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select("text", "y")
     rows = bags.mapInArrow(run, "y int, n int, x binary").collect()  # `most` at most
     ys = {r["y"] for r in rows}
     if len(ys) < 2:
@@ -226,7 +252,7 @@ def classify(docs: DataFrame, model: Attention | float, at: float = 0.3) -> Data
 
 
 def accepted(docs: DataFrame, model: Attention | float, at: float = 0.3) -> DataFrame:
-    """The rows of docs whose text scores `at` or more, unchanged."""
+    """The rows of docs whose text scores `at` or more, unchanged; null texts are scored as empty ones, repeated rows alike."""
 
     @F.pandas_udf("double")
     def score(t):
@@ -238,5 +264,6 @@ def accepted(docs: DataFrame, model: Attention | float, at: float = 0.3) -> Data
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, by a model of the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     return classify(docs, train(docs, table(spark, sf_dir, "labels")))
