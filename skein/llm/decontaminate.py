@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -12,8 +13,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import table
+from ._common import table, written
 
 TOKEN = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -246,23 +248,22 @@ class Index:
         return [(i, *x) for i, x in sorted(self.search(text).items()) if x[0] >= OVERLAP and x[1] >= ANSWER]
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes of benchmark(item_id, text), or (item_id, question, answer), each of about INDEX_CHARS characters.
+def indexes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes of benchmark(item_id, text), or (item_id, question, answer), each of about INDEX_CHARS characters, and whether more follow.
 
-    The items' size is counted first; each index is built from its own block of them. Items that are
-    null or without a word match nothing; those of under WIDTH words match wherever all their words
-    stand in a row.
+    The items' size is counted first; each index is built from its own block of them when it is asked for, so the
+    driver holds one at a time. Items that are null or without a word match nothing; those of under WIDTH
+    words match wherever all their words stand in a row.
     """
     cols = ["question", "answer"] if "question" in benchmark.columns else ["text"]
     chars = benchmark.agg(*[F.coalesce(F.sum(F.length(c)), F.lit(0)) for c in cols], F.count("*")).first()
     blocks = -(-(sum(chars[:-1]) + 64 * chars[-1]) // INDEX_CHARS)
-    out = []
     for b in range(blocks):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", *cols)
-        rows = sorted(own.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        spot = F.pmod(F.xxhash64("item_id", *cols), F.lit(blocks))
+        rows = benchmark.where(spot == b).select("item_id", *cols).collect()
+        rows = sorted(rows, key=lambda r: (r[0] is None, str(r[0]), r[1] or ""))
         qa = [(r[0], *(question_answer(r[1]) if len(r) == 2 else (tokens(r[1]), tokens(r[2])))) for r in rows]
-        out.append(Index.build(qa))
-    return out
+        yield Index.build(qa), b + 1 < blocks
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -270,33 +271,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs(doc_id, text): every passage of every whole text queries the index; null and empty texts leak
     nothing. An item with several rows of the same words is found as each. Repeated rows of docs give
-    repeated results; other columns are ignored.
+    repeated results; other columns are ignored. item_id keeps its type. Of several indexes each is
+    searched, its results written and itself released before the next is built.
     """
-    schema = "doc_id long, item_id long, overlap double, answer_overlap double, score double"
+    item = benchmark.schema["item_id"].dataType
+    schema = f"doc_id long, item_id {item.simpleString()}, overlap double, answer_overlap double, score double"
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for index in indexes(benchmark):
+    out = docs.sparkSession.createDataFrame([], schema)
+    for index, more in indexes(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)  # INDEX_CHARS characters at most
 
         def run(batches, sent=sent):
             ix = sent.value
             for b in batches:
                 found = [(d, ix.items[i][0], *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for i, *x in ix.leaks(t)]
-                types = [pa.int64()] * 2 + [pa.float64()] * 3
+                types = [pa.int64(), to_arrow_type(item), *[pa.float64()] * 3]
                 cols = [pa.array([f[k] for f in found], x) for k, x in enumerate(types)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "overlap", "answer_overlap", "score"])
 
         part = base.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        if more:
+            part = written(part)
+            sent.destroy()
+        out = out.union(part)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item, unchanged."""
-    for index in indexes(benchmark):
+    """The rows of docs that leak no item, unchanged; null texts leak nothing, repeated rows go or stay alike."""
+    for index, more in indexes(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)
-
         docs = docs.where(_free_of(sent)("text"))
+        if more:
+            docs = written(docs)
+            sent.destroy()
     return docs
 
 
@@ -308,4 +316,5 @@ def _free_of(sent):
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak of a test item in the whole table, by leaks()."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
