@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import first_mask, hex16, signed, table, written
+from ._common import by_key, first_mask, hex16, signed, table, written
 
 #: Two counters of 32 bits in a long: the bits g and g + 32 of a hash, moved to 0 and 32.
 PAIR = (1 << 32) | 1
 LOW = (1 << 32) - 1
-#: Five blocks of the 64 bits; three wrong bits leave two of the five blocks whole.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Six blocks of the 64 bits; three wrong bits leave three of the six whole, 31 bits or more.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
 
 def terms(text: Column) -> Column:
@@ -105,13 +105,13 @@ def with_next(docs: DataFrame) -> DataFrame:
 def near(fps: DataFrame, radius: int = 3) -> DataFrame:
     """All pairs (a, b), a < b, of distinct fingerprints in fps(fp) that differ in `radius` (<= 3) bits at most.
 
-    Ten tables, one for each two of five blocks: pairs within three bits agree on two whole blocks,
+    Twenty tables, one for each three of six blocks: pairs within three bits agree on three whole blocks,
     so equal keys of some table find them; a pair is kept only in the first such table.
     """
     if radius > 3:
         raise ValueError("the tables are made for three bits at most")
     mask = [signed(((1 << n) - 1) << s) for s, n in BLOCKS]
-    pairs = [signed((a | b) & ((1 << 64) - 1)) for a, b in combinations(mask, 2)]
+    pairs = [signed((a | b | c) & ((1 << 64) - 1)) for a, b, c in combinations(mask, 3)]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in pairs])).alias("t", "k"))
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
     x = F.col("a").bitwiseXOR(F.col("b"))
@@ -120,13 +120,16 @@ def near(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, radius: int = 3) -> DataFrame:
-    """rows(fp, ...) with n_near: how many other rows have a fingerprint within `radius` bits (0 included)."""
+    """rows(fp, ...) with n_near: how many other rows have a fingerprint within `radius` bits (0 included).
+
+    Rows of one fingerprint are counted, never paired; only fingerprints that differ are.
+    """
     counted = written(rows.groupBy("fp").agg(F.count("*").alias("n")))
     pairs = near(counted.select("fp"), radius)
     both = pairs.union(pairs.select("b", "a")).toDF("fp", "other")
     more = both.join(counted.withColumnRenamed("fp", "other"), "other").groupBy("fp").agg(F.sum("n").alias("more"))
-    n = counted.join(more, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
-    return rows.join(n, "fp")
+    n = counted.join(more, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), "n")
+    return by_key(rows, written(n), "fp", "n").drop("n")
 
 
 def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -161,4 +164,5 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each document, by edited_fingerprints() over the whole table."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))

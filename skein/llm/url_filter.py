@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (verdict, host, path) of the query's contract.
@@ -116,8 +116,8 @@ class UrlModel:
 def train(labelled: DataFrame, label: str, max_rows: int = 6000, trees: int = 12, depth: int = 4, smooth: float = 20.0) -> UrlModel:
     """Fit on rows of lexical() with a 0/1 column `label`.
 
-    The suffix statistics count every labelled row; the trees learn from at most `max_rows` of them,
-    those with the least hash of the URL, both labels weighing the same. Without rows of both labels the model is their constant.
+    The suffix statistics count every labelled row; the trees learn from at most `max_rows` different URLs,
+    those with the least hash, both labels weighing the same. Without rows of both labels the model is their constant.
     """
     n, ones = labelled.agg(F.count("*"), F.sum(label)).first()
     prior = float(ones or 0) / n if n else 0.0
@@ -125,10 +125,9 @@ def train(labelled: DataFrame, label: str, max_rows: int = 6000, trees: int = 12
         return UrlModel(None, prior=prior)
     model = UrlModel(None, prior=prior)
     for key in ("k1", "k2", "k3"):
-        model.stats[key] = labelled.groupBy(key).agg(
-            ((F.sum(label) + F.lit(smooth * prior)) / (F.count("*") + F.lit(smooth))).alias("rate")
-        )
-    picked = labelled.orderBy(F.xxhash64("url"), "url").limit(max_rows)
+        rate = (F.sum(label) + F.lit(smooth * prior)) / (F.count("*") + F.lit(smooth))
+        model.stats[key] = written(labelled.groupBy(key).agg(rate.alias("rate")))  # counted, joined and joined again
+    picked = written(labelled.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(max_rows))
     sample = model.features(picked).withColumns({
         "label": F.col(label).cast("double"),
         "weight": F.when(F.col(label) == 1, 0.5 / prior).otherwise(0.5 / (1 - prior)),
@@ -164,4 +163,5 @@ def judge(pages: DataFrame, rules=RULES, at: float = 0.5, **train_args) -> DataF
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict, by judge() with the contract's rules."""
     return judge(table(spark, sf_dir, "pages"))
