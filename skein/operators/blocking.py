@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,17 +44,26 @@ V4 = [Channel("exact_name", ("country_norm", "name_view"), 500), Channel("exact_
       Channel("bigram", ("country_norm", "token"), 400, "bigram", rarest=15)]
 
 
-def exploded(records: DataFrame, ch: Channel) -> DataFrame:
-    if ch.explode == "token":
-        return records.withColumn("token", F.explode("name_tokens")).where(F.length("token") > 1)
-    if ch.explode == "bigram":
-        own = F.array_sort(F.array_distinct(F.filter("name_tokens", lambda x: F.length(x) > 1)))
-        if ch.rarest:
-            records, own = _rarest(records, ch.rarest), F.col("_rare")
-        rest = lambda i: F.slice(own, i + 2, F.size(own))
-        pairs = F.flatten(F.transform(own, lambda x, i: F.transform(rest(i), lambda y: F.concat_ws("|", x, y))))
-        return records.withColumn("token", F.explode(pairs))
-    return records
+#: Between the parts of a key.
+GAP = "\x1f"
+
+
+def keys_of(ch: Channel) -> Column:
+    """A record's keys in a channel, an array: none if a part (but the country) is empty or null; repeats stay."""
+    rest = [k for k in ch.keys if k != "token"]
+    whole = F.lit(True)
+    for k in rest:
+        whole = whole & (F.col(k).isNotNull() if k in ("country", "country_norm") else F.coalesce(F.col(k) != "", F.lit(False)))
+    one = lambda t: F.concat_ws(GAP, *[t if k == "token" else F.col(k) for k in ch.keys])
+    if ch.explode is None:
+        own = F.array(one(None))
+    elif ch.explode == "token":
+        own = F.transform(F.filter("name_tokens", lambda x: F.length(x) > 1), one)
+    else:
+        tok = F.coalesce("_rare", F.array()) if ch.rarest else F.array_sort(F.array_distinct(F.filter("name_tokens", lambda x: F.length(x) > 1)))
+        later = lambda i: F.slice(tok, i + 2, F.size(tok))
+        own = F.flatten(F.transform(tok, lambda x, i: F.transform(later(i), lambda y: one(F.concat_ws("|", x, y)))))
+    return F.when(whole, own).otherwise(F.array().cast("array<string>"))
 
 
 def _rarest(records: DataFrame, n: int) -> DataFrame:
@@ -65,45 +73,64 @@ def _rarest(records: DataFrame, n: int) -> DataFrame:
     one = tok.join(df, ["country_norm", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     place = F.row_number().over(W.partitionBy("entity_id").orderBy("df", "token"))
     kept = one.withColumn("at", place).where(F.col("at") <= n).groupBy("entity_id").agg(F.array_sort(F.collect_list("token")).alias("_rare"))
-    return records.join(kept, "entity_id")
+    return records.join(kept, "entity_id", "left")
 
 
-def pairs(records: DataFrame, ch: Channel) -> DataFrame:
-    """(source1_entity_id, candidate_entity_id, channel), distinct. Empty and null keys meet nothing.
+def matched(records: DataFrame, channels: list[Channel]) -> DataFrame:
+    """(source1_entity_id, candidate_entity_id, m): the channels by which two records meet, as bits of m; a row for each meeting.
 
-    The cap is part of the answer: keys above it are no evidence. It bounds what a key can pair, so
-    the join stays linear in the records.
+    All channels' keys are emitted in one pass as rows (channel, key) and dealt by these: the counts for the
+    caps, and both sides of the join, need no other exchange. Empty and null keys meet nothing. A cap
+    is part of a channel's answer: keys above it are no evidence, which also bounds what a key can pair.
     """
-    keyed = exploded(records, ch).select("entity_id", "src", *ch.keys)
-    for k in ch.keys:
-        keyed = keyed.where(F.col(k) != "") if k not in ("country", "country_norm") else keyed
-    sides = [keyed.where("src = 1"), keyed.where("src <> 1")]
-    if ch.cap is not None and ch.scope == "others":
-        rare = sides[1].groupBy(*ch.keys).agg(F.count("*").alias("n")).where(F.col("n") <= ch.cap).drop("n")
-        sides = [s.join(rare, list(ch.keys), "left_semi") for s in sides]
-    elif ch.cap is not None:
-        rare = keyed.groupBy("src", *ch.keys).agg(F.count("*").alias("n")).where(F.col("n") <= ch.cap).drop("n")
-        sides = [s.join(rare, ["src", *ch.keys], "left_semi") for s in sides]
-    left, right = (s.select(*ch.keys, F.col("entity_id").alias(c)) for s, c in zip(sides, ("source1_entity_id", "candidate_entity_id")))
-    return left.join(right, list(ch.keys)).select("source1_entity_id", "candidate_entity_id", F.lit(ch.name).alias("channel")).distinct()
+    for n in {c.rarest for c in channels if c.rarest}:
+        records = _rarest(records, n)
+    tagged = lambda i: lambda k: F.struct(F.lit(i).alias("ch"), k.alias("key"))
+    every = F.concat(*[F.transform(keys_of(c), tagged(i)) for i, c in enumerate(channels)])
+    rows = records.select("entity_id", F.col("src").cast("int").alias("src"), F.explode(every).alias("k")).select("entity_id", "src", "k.ch", "k.key")
+    n = {i: F.count_if(F.col("src") == i) for i in (1, 2, 3)}
+    counts = rows.groupBy("ch", "key").agg(*[c.alias(f"n{i}") for i, c in n.items()]).where("n1 > 0 and n2 + n3 > 0")
+    keep, own = F.lit(False), F.lit(True)
+    for i, c in enumerate(channels):
+        here = F.col("ch") == i
+        if c.scope == "own" and c.cap is not None:
+            keep = F.when(here, F.col("n1") <= c.cap).otherwise(keep)
+            own = F.when(here, F.when(F.col("src") == 2, F.col("n2")).otherwise(F.col("n3")) <= c.cap).otherwise(own)
+        else:
+            keep = F.when(here, F.lit(True) if c.cap is None else F.col("n2") + F.col("n3") <= c.cap).otherwise(keep)
+    right = rows.where("src <> 1").join(counts.where(keep), ["ch", "key"]).where(own).select("ch", "key", F.col("entity_id").alias("candidate_entity_id"))
+    left = rows.where("src = 1").select("ch", "key", F.col("entity_id").alias("source1_entity_id"))
+    bit = F.lit(0).cast("long")
+    for i in range(len(channels)):
+        bit = F.when(F.col("ch") == i, F.lit(1 << i).cast("long")).otherwise(bit)
+    return left.join(right, ["ch", "key"]).select("source1_entity_id", "candidate_entity_id", bit.alias("m"))
+
+
+def united(found: DataFrame, names: list[str]) -> DataFrame:
+    """The pairs of matched() once each, with `channels` (sorted names) and `num_channels`."""
+    got = found.groupBy("source1_entity_id", "candidate_entity_id").agg(F.bit_or("m").alias("m"))
+    order = sorted(range(len(names)), key=names.__getitem__)
+    held = F.array(*[F.when(F.col("m").bitwiseAND(F.lit(1 << i).cast("long")) != 0, names[i]) for i in order])
+    return got.select("source1_entity_id", "candidate_entity_id", F.array_compact(held).alias("channels"), F.bit_count("m").alias("num_channels"))
+
+
+def pairs(records: DataFrame, ch: Channel) -> DataFrame:
+    """(source1_entity_id, candidate_entity_id, channel), distinct, of one channel."""
+    return matched(records, [ch]).drop("m").distinct().withColumn("channel", F.lit(ch.name))
 
 
 def retrieve(records: DataFrame, channels: list[Channel]) -> DataFrame:
     """Candidates of all channels once each, with `channels` (sorted) and `num_channels`."""
-    return merged([pairs(records, c) for c in channels])
+    return united(matched(records, channels), [c.name for c in channels])
 
 
 def retrieve_v4(records: DataFrame) -> DataFrame:
     """Candidates of all nine channels of the fourth version: V4's keys, trigrams weighted by TF-IDF, and MinHash."""
-    near = (("ngram_tfidf", scoring.tfidf_pairs(records)), ("minhash_lsh", scoring.minhash_pairs(records)))
-    found = [p.select("source1_entity_id", "candidate_entity_id", F.lit(name).alias("channel")) for name, p in near]
-    return merged([pairs(records, c) for c in V4] + found)
-
-
-def merged(found: list[DataFrame]) -> DataFrame:
-    every = reduce(DataFrame.unionByName, found)
-    out = every.groupBy("source1_entity_id", "candidate_entity_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
-    return out.withColumn("num_channels", F.size("channels"))
+    found, names = matched(records, V4), [c.name for c in V4]
+    for name, near in (("ngram_tfidf", scoring.tfidf_pairs(records)), ("minhash_lsh", scoring.minhash_pairs(records))):
+        found = found.union(near.select("source1_entity_id", "candidate_entity_id", F.lit(1 << len(names)).cast("long")))
+        names.append(name)
+    return united(found, names)
 
 
 def per_record_stats(cands: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def accepted(scored: DataFrame, at: float = 0.5) -> DataFrame:
 
 
 def best_owner(scored: DataFrame) -> DataFrame:
-    """Each candidate stays with the record that scores it best, on ties the least id."""
-    best = scored.groupBy(C).agg(F.min_by(S1, F.struct(-F.col("score"), F.col(S1))).alias(S1))
-    return scored.join(best, [C, S1], "left_semi")
+    """Each candidate stays with the record that scores it best, on ties the least id; scored holds a pair once."""
+    row = F.struct(*[F.col(c) for c in scored.columns])
+    return scored.groupBy(F.col(C).alias("_c")).agg(F.min_by(row, F.struct(-F.col("score"), F.col(S1))).alias("r")).select("r.*")
 
 
 def clear_winners(scored: DataFrame, margin: float = 0.1) -> DataFrame:

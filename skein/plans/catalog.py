@@ -137,6 +137,10 @@ def _reduced(n: DataFrame) -> DataFrame:
     return blocking.retrieve(n, LINK)
 
 
+def _with(n: DataFrame) -> DataFrame:
+    return features.with_records(_reduced(n), n)
+
+
 def _pairs(spark: SparkSession, d: str, retrieve: Callable[[DataFrame], DataFrame] = _reduced) -> DataFrame:
     n = normal(spark, d)
     return features.cheap(features.with_records(retrieve(n), n))
@@ -229,7 +233,7 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
         sql(f"SELECT {S1}, {C}, {', '.join(f'round({c}, 6) AS {c}' if 'jaccard' in c or 'containment' in c or 'ratio' in c else c for c in _FEATS)} FROM scored", LINKED),
     )
     q["name_jaro_winkler"] = (
-        lambda s, d: features.with_records(blocking.retrieve(normal(s, d), LINK), normal(s, d)).select(S1, C, F.round(similarity.winkler("l_name_punct", "r_name_punct"), 6).alias("name_jaro_winkler")),
+        lambda s, d: _with(normal(s, d)).select(S1, C, F.round(similarity.winkler("l_name_punct", "r_name_punct"), 6).alias("name_jaro_winkler")),
         sql(f"SELECT {S1}, {C}, round(jaro_winkler_similarity(l_name, r_name), 6) AS name_jaro_winkler FROM scored", LINKED),
     )
     q["name_fuzz"] = (lambda s, d: features.costly(_pairs(s, d)).select(S1, C, *features.COSTLY), None)

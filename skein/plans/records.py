@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import normalised
+from skein.sources.tables import scratch
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +22,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalised(records(spark, sf_dir).drop("digest"))
+    """The records with all views, written once: what follows reads them as often as it likes."""
+    return scratch(normalised(records(spark, sf_dir).drop("digest")))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source1_entity_id, candidate_entity_id): records of equal whole texts; of several owners the least id."""
-    r = records(spark, sf_dir).where("digest is not null")
+    r = records(spark, sf_dir).where("digest is not null").select("entity_id", "doc_id", "src", "digest")
     own = r.where("src = 1").groupBy("digest").agg(F.min("doc_id").alias("owner"))
     return r.where("src <> 1").join(own, "digest").select(F.concat(F.lit("S1-"), F.col("owner")).alias("source1_entity_id"), F.col("entity_id").alias("candidate_entity_id"))
