@@ -51,8 +51,8 @@ def measures(counts: DataFrame, lone: float | None = None) -> DataFrame:
     return counts.withColumns({"p": p, "r": r, "f": f05})
 
 
-def macro(counts: DataFrame, *by: str) -> DataFrame:
-    m = measures(counts)
+def macro(counts: DataFrame, *by: str, lone: float | None = None) -> DataFrame:
+    m = measures(counts, lone)
     six = lambda c: F.round(c, 6)
     return m.groupBy(*by).agg(
         F.count("*").alias("records"), six(F.avg("p")).alias("macro_p"), six(F.avg("r")).alias("macro_r"), six(F.avg("f")).alias("macro_f05"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.text import LEGAL
+
 #: Patterns whose share in names or addresses is reported.
 NAME_PATTERNS = {
     "non_ascii": r"[^\x00-\x7F]", "devanagari": r"[ऀ-ॿ]", "accented": r"[àâäéèêëïîôùûüÿçœæÀÂÄÉÈÊËÏÎÔÙÛÜŸÇŒÆ]", "odd_marks": r"[<>{}|\\~`]",
     "ampersand": "&", "word_and": r"(?i)\band\b", "domain": r"(?i)\.(com|net|org|io|co|in)\b", "dba": r"(?i)\bdba\b|d/b/a|doing business as", "leading_mark": r"^[^a-zA-Z0-9ऀ-ॿ]",
-    "legal": r"(?i)\b(inc|corp|llc|ltd|limited|pvt|llp|plc|gmbh|sarl|sas|sa|co|company)\b", "period": r"\.", "comma": ",", "hyphen": "-", "slash": "/",
+    "legal": rf"(?i)\b({LEGAL})\b", "period": r"\.", "comma": ",", "hyphen": "-", "slash": "/",
 }
 ADDRESS_PATTERNS = {"number": r"\d", "five_digits": r"\b\d{5}\b", "six_digits": r"\b\d{6}\b", "po_box": r"(?i)\bp\.?\s*o\.?\s*box\b", "unit": r"(?i)\b(apt|apartment|suite|ste|unit|flat)\b", "landmark": r"(?i)\b(near|opp|opposite|behind|beside)\b"}
 

@@ -6,7 +6,8 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.text import trigrams
@@ -27,11 +28,22 @@ def gram_pool(records: DataFrame, cap: int = 100) -> DataFrame:
     return left.drop("src").join(right.drop("src"), ["country_norm", "gram"]).select(S1, C).distinct()
 
 
-def tfidf(records: DataFrame, min_df: int = 2, max_df: int = 1000) -> DataFrame:
-    """(entity_id, gram, w): 1 + ln tf times ln((1 + n) / (1 + df)) + 1, of unit length; fitted on sources 2 and 3 by country."""
-    tf = grams(records).groupBy("entity_id", "src", "country_norm", "gram").agg(F.count("*").alias("tf"))
+def word_grams(records: DataFrame) -> DataFrame:
+    """Trigrams of each word between blanks: none runs across words."""
+    own = F.flatten(F.transform(F.filter(F.split("name_punct", " "), lambda x: x != ""), trigrams))
+    return records.select("entity_id", "src", "country_norm", F.explode(own).alias("gram"))
+
+
+def tfidf(records: DataFrame, min_df: int = 2, max_df: int = 1000, most: int = 50_000) -> DataFrame:
+    """(entity_id, gram, w): 1 + ln tf times ln((1 + n) / (1 + df)) + 1, of unit length, over word_grams.
+
+    Fitted on sources 2 and 3 by country; of a country's grams the `most` most frequent count, equal ones in order.
+    """
+    tf = word_grams(records).groupBy("entity_id", "src", "country_norm", "gram").agg(F.count("*").alias("tf"))
     n = records.where("src <> 1").groupBy("country_norm").agg(F.count("*").alias("n"))
-    df = tf.where("src <> 1").groupBy("country_norm", "gram").agg(F.count("*").alias("df")).where(F.col("df").between(min_df, max_df))
+    df = tf.where("src <> 1").groupBy("country_norm", "gram").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where(F.col("df").between(min_df, max_df))
+    place = F.row_number().over(W.partitionBy("country_norm").orderBy(F.desc("all"), "gram"))
+    df = df.withColumn("at", place).where(F.col("at") <= most)
     idf = df.join(n, "country_norm").select("country_norm", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, ["country_norm", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     size = w.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
@@ -46,7 +58,7 @@ def tfidf_pairs(records: DataFrame, cap: int = 100, least: float = 0.25) -> Data
     return both.groupBy(S1, C).agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine")).where(F.col("cosine") >= least)
 
 
-def minhash_pairs(records: DataFrame, least: float = 0.5, perms: int = 64, rows: int = 4) -> DataFrame:
+def minhash_pairs(records: DataFrame, least: float = 0.5, perms: int = 64, rows: int = 3) -> DataFrame:
     """Pairs within a country whose trigram sets agree in a band of `rows` minima and have Jaccard `least` or more.
 
     Equal gram sets are one node of the band join and are expanded after it, so copies of a name don't multiply there.
@@ -103,6 +115,19 @@ def importance(model, features: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: -x[1])
 
 
+def draw(c: str, seed: int = 42) -> Column:
+    """A hash of an id that decides its place in samples and splits: the same at every size and on every cluster."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), c))
+
+
 def split(ids: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """ids with `validation`, by a hash of the id: the same at every size and on every cluster."""
-    return ids.withColumn("validation", F.pmod(F.xxhash64(F.lit(seed), "entity_id"), F.lit(10_000)) < int(share * 10_000))
+    """Distinct ids(entity_id) with `validation`: exactly floor(n * share) of them, those with the least draw()."""
+    own = ids.select("entity_id").distinct()
+    n = int(own.count() * share)
+    chosen = own.orderBy(draw("entity_id", seed), "entity_id").limit(n).withColumn("validation", F.lit(True))
+    return own.join(chosen, "entity_id", "left").withColumn("validation", F.coalesce("validation", F.lit(False)))
+
+
+def sample(rows: DataFrame, n: int, key: str = "entity_id", seed: int = 42) -> DataFrame:
+    """n rows at random, by draw()."""
+    return rows.orderBy(draw(key, seed), key).limit(n)

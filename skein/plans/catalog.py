@@ -31,6 +31,13 @@ def _squeeze(x: str) -> str:
     return f"trim({_sub(x, chr(92) + 's+', ' ')})"
 
 
+def _runs(x: str) -> str:
+    """Each run of one digit from 1 to 6 as that digit."""
+    for d in "123456":
+        x = _sub(x, f"{d}+", d)
+    return x
+
+
 def _norm_sql() -> str:
     name = f"replace(lower({_lat('business_name')}), '&', ' and ')"
     name = _sub(f"regexp_replace({name}, '^[^a-z0-9]+', '')", r"\.(com|net|org|io|co|in)\b", r" \1")
@@ -54,7 +61,9 @@ n3 AS (SELECT *, array_to_string(regexp_extract_all(address_norm, '\\d+'), ' ')
     regexp_extract(address_norm, '\\b(\\d{{5,6}})\\b', 1) AS postal_code, {own.format('name_legal')} AS name_tokens, {own.format('address_norm')} AS address_tokens FROM n2),
 n4 AS (SELECT *, array_to_string(list_sort(name_tokens), ' ') AS name_sorted, CASE WHEN name_legal <> '' THEN name_legal ELSE name_punct END AS name_view,
     coalesce(array_to_string(list_filter(address_tokens, lambda x: NOT regexp_matches(x, '^\\d+$'))[1:3], ' '), '') AS street FROM n3),
-norm AS (SELECT *, CASE WHEN address_numbers <> '' AND street <> '' THEN address_numbers || '|' || street ELSE '' END AS addr_struct_key FROM n4),
+n5 AS (SELECT *, CASE WHEN address_numbers <> '' AND street <> '' THEN address_numbers || '|' || street ELSE '' END AS addr_struct_key, split_part(name_legal, ' ', 1) AS w0 FROM n4),
+n6 AS (SELECT *, translate(lower(w0), 'abcdefghijklmnopqrstuvwxyz', '01230127022455012623017202') AS t0 FROM n5),
+norm AS (SELECT * EXCLUDE (w0, t0), CASE WHEN regexp_full_match(w0, '[A-Za-z]+') THEN upper(w0[1]) || rpad(left(replace(substr({_runs("(t0[1] || replace(substr(t0, 2), '7', ''))")}, 2), '0', ''), 3), 3, '0') ELSE '' END AS phonetic FROM n6),
 truth AS (SELECT 'S1-' || o.owner AS {S1}, r.entity_id AS {C} FROM rec r
   JOIN (SELECT digest, min(doc_id) AS owner FROM rec WHERE src = 1 AND digest IS NOT NULL GROUP BY digest) o ON r.digest = o.digest WHERE r.src <> 1)"""
 
@@ -95,8 +104,8 @@ def _cands(channels: list[blocking.Channel]) -> str:
     return ",\n".join(parts) + f",\ncands AS (SELECT {S1}, {C}, list_sort(list_distinct(list(channel))) AS channels, CAST(count(DISTINCT channel) AS INT) AS num_channels FROM ({union}) GROUP BY ALL)"
 
 
-#: Channels that SQL can express; DuckDB has no soundex. Queries on these are reduced; blocking.retrieve_v4 has all.
-LINK = [c for c in blocking.V4 if c.name != "phonetic"]
+#: The channels by keys. Queries on these have SQL; blocking.retrieve_v4 has trigrams by TF-IDF and MinHash besides.
+LINK = blocking.V4
 AT = 0.5
 _SETS = """feat AS (SELECT c.*, CAST(l.name_punct = r.name_punct AS INT) AS exact_name_match, CAST(l.name_legal = r.name_legal AS INT) AS exact_legal_match,
   CAST(l.name_sorted = r.name_sorted AS INT) AS sorted_name_match, CAST(l.address_norm = r.address_norm AS INT) AS exact_address_match, CAST(l.country_norm = r.country_norm AS INT) AS country_match,
@@ -109,8 +118,9 @@ _SETS = """feat AS (SELECT c.*, CAST(l.name_punct = r.name_punct AS INT) AS exac
 sets AS (SELECT *, len(list_intersect(ln, rn))::DOUBLE AS name_shared_tokens, len(list_intersect(la, ra))::DOUBLE AS addr_shared_tokens,
   len(list_intersect(ln, rn))::DOUBLE / len(list_distinct(list_concat(ln, rn))) AS name_jaccard, len(list_intersect(ln, rn))::DOUBLE / len(ln) AS name_containment,
   len(list_intersect(la, ra))::DOUBLE / len(list_distinct(list_concat(la, ra))) AS addr_jaccard, len(list_intersect(la, ra))::DOUBLE / len(la) AS addr_containment FROM feat),
-scored AS (SELECT *, round(0.5::DOUBLE * name_jaccard + 0.3::DOUBLE * addr_jaccard + 0.2::DOUBLE * exact_legal_match, 6) AS score FROM sets),
+scored AS (SELECT *, {provenance}, round(0.5::DOUBLE * name_jaccard + 0.3::DOUBLE * addr_jaccard + 0.2::DOUBLE * exact_legal_match, 6) AS score FROM sets),
 s1 AS (SELECT entity_id AS source1_entity_id FROM norm WHERE src = 1)"""
+_SETS = _SETS.replace("{provenance}", ", ".join(f"CAST(list_has_any(channels, {list(v)}) AS INT) AS retrieved_by_{k}" for k, v in features.PROVENANCE.items()))
 LINKED = _cands(LINK) + ",\n" + _SETS
 
 
@@ -174,7 +184,7 @@ def _output_faults(spark: SparkSession, d: str) -> DataFrame:
 
 
 _VIEWS = ["entity_id", "name_norm", "name_punct", "name_legal", "name_sorted", "address_norm", "address_numbers", "postal_code", "addr_struct_key", "name_view", "country_norm"]
-_FEATS = [c for c in features.CHEAP if not c.startswith("retrieved_by")]
+_FEATS = list(features.CHEAP)
 _OWN = "best AS (SELECT * FROM scored WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY candidate_entity_id ORDER BY score DESC, source1_entity_id) = 1)"
 _MISS = "CASE WHEN {0} IS NULL OR trim({0}) = '' OR lower({0}) IN ('nan', 'none') THEN 1 ELSE 0 END"
 
@@ -182,9 +192,9 @@ _MISS = "CASE WHEN {0} IS NULL OR trim({0}) = '' OR lower({0}) IN ('nan', 'none'
 def _registry() -> dict[str, tuple[Query, str | None]]:
     q: dict[str, tuple[Query, str | None]] = {}
     q["link_end_to_end"] = (link_end_to_end, None)
-    q["link_end_to_end_without_phonetic_ngram_minhash"] = (lambda s, d: link_end_to_end(s, d, _reduced), sql(f"SELECT s1.{S1}, coalesce(m, '') AS matched_entity_ids FROM s1 LEFT JOIN (SELECT {S1}, string_agg({C}, ',' ORDER BY {C}) AS m FROM best GROUP BY 1) USING ({S1})", LINKED, _OWN))
+    q["link_end_to_end_without_ngram_minhash"] = (lambda s, d: link_end_to_end(s, d, _reduced), sql(f"SELECT s1.{S1}, coalesce(m, '') AS matched_entity_ids FROM s1 LEFT JOIN (SELECT {S1}, string_agg({C}, ',' ORDER BY {C}) AS m FROM best GROUP BY 1) USING ({S1})", LINKED, _OWN))
     q["normalise"] = (lambda s, d: normal(s, d).select(*_VIEWS), sql(f"SELECT {', '.join(_VIEWS)} FROM norm"))
-    q["phonetic"] = (lambda s, d: normal(s, d).select("entity_id", "phonetic"), None)
+    q["phonetic"] = (lambda s, d: normal(s, d).select("entity_id", "phonetic"), sql("SELECT entity_id, phonetic FROM norm"))
     q["trigrams"] = (
         lambda s, d: scoring.grams(normal(s, d)).groupBy("country_norm", "gram").agg(F.count("*").alias("n")),
         sql("SELECT country_norm, substr(p, CAST(i AS INT), 3) AS gram, count(*) AS n FROM (SELECT country_norm, ' ' || name_punct || ' ' AS p, unnest(range(1, length(name_punct) + 1)) AS i FROM norm WHERE name_punct <> '') GROUP BY ALL"),
@@ -193,16 +203,14 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
         for ch in channels:
             q[f"channel_{version}_{ch.name}"] = (
                 lambda s, d, ch=ch: blocking.pairs(normal(s, d), ch),
-                None if "phonetic" in ch.keys else sql("SELECT * FROM c0", _channel_cte(ch, 0)),
+                sql("SELECT * FROM c0", _channel_cte(ch, 0)),
             )
-        kept = [c for c in channels if "phonetic" not in c.keys]
-        cut = {"v3": "_without_phonetic", "v4": "_without_phonetic_ngram_minhash"}.get(version, "")
+        cut = "_without_ngram_minhash" if version == "v4" else ""
         q[f"retrieve_{version}{cut}"] = (
-            lambda s, d, k=kept: blocking.retrieve(normal(s, d), k).withColumn("channels", F.array_join("channels", "|")),
-            sql(f"SELECT {S1}, {C}, array_to_string(channels, '|') AS channels, num_channels FROM cands", _cands(kept)),
+            lambda s, d, k=channels: blocking.retrieve(normal(s, d), k).withColumn("channels", F.array_join("channels", "|")),
+            sql(f"SELECT {S1}, {C}, array_to_string(channels, '|') AS channels, num_channels FROM cands", _cands(channels)),
         )
-    for version, whole in (("v3", lambda n: blocking.retrieve(n, blocking.V3)), ("v4", blocking.retrieve_v4)):
-        q[f"retrieve_{version}"] = (lambda s, d, w=whole: w(normal(s, d)).withColumn("channels", F.array_join("channels", "|")), None)
+    q["retrieve_v4"] = (lambda s, d: blocking.retrieve_v4(normal(s, d)).withColumn("channels", F.array_join("channels", "|")), None)
     low = blocking.Channel("token", ("country_norm", "token"), 20, "token")
     q["channel_low_cap"] = (lambda s, d: blocking.pairs(normal(s, d), low), sql("SELECT * FROM c0", _channel_cte(low, 0)))
     q["channel_counts"] = (
@@ -245,7 +253,6 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     )
     q["gbt_scores"] = (lambda s, d: _trained(s, d, "gbt"), None)
     q["lr_scores"] = (lambda s, d: _trained(s, d, "lr"), None)
-    q["tfidf_pairs"] = (lambda s, d: scoring.tfidf_pairs(normal(s, d)), None)
     q["minhash_pairs"] = (lambda s, d: scoring.minhash_pairs(normal(s, d)), None)
     q["split"] = (lambda s, d: scoring.split(records(s, d).where("src = 1").select("entity_id")), None)
     q["decide"] = (
@@ -286,10 +293,10 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     cols = ("entity_id", "business_name", "business_address", "country")
     q["check_source"] = (
         lambda s, d: contract.source(records(s, d), "S"),
-        sql(f"SELECT count(*) AS rows, {', '.join(f'CAST(sum({_MISS.format(c)}) AS BIGINT) AS missing_{c}' for c in cols)}, count(*) - count(DISTINCT ({', '.join(cols)})) AS duplicate_rows, count(*) - count(DISTINCT entity_id) AS duplicate_ids, CAST(0 AS BIGINT) AS wrong_prefix, count(*) <> count(DISTINCT entity_id) AS failed FROM rec"),
+        sql(f"SELECT count(*) AS rows, {', '.join(f'CAST(sum({_MISS.format(c)}) AS BIGINT) AS missing_{c}' for c in cols)}, count(*) - count(DISTINCT ({', '.join(cols)})) AS duplicate_rows, count(*) - count(DISTINCT entity_id) AS duplicate_ids, count_if(NOT starts_with(entity_id, 'S')) AS wrong_prefix, count(*) <> count(DISTINCT entity_id) OR count_if(NOT starts_with(entity_id, 'S')) > 0 AS failed FROM rec"),
     )
     q["countries"] = (lambda s, d: contract.countries(records(s, d)), sql("SELECT country, count(*) AS rows FROM rec WHERE country <> '' GROUP BY 1"))
-    q["check_separation"] = (lambda s, d: contract.separation(*[records(s, d).where(f"src = {i}") for i in (1, 2, 3)]), sql("SELECT CAST(0 AS BIGINT) AS s1_s2_overlap, CAST(0 AS BIGINT) AS s1_s3_overlap, CAST(0 AS BIGINT) AS s2_s3_overlap"))
+    q["check_separation"] = (lambda s, d: contract.separation(*[records(s, d).where(f"src = {i}") for i in (1, 2, 3)]), sql("SELECT " + ", ".join(f"(SELECT count(*) FROM (SELECT entity_id FROM rec WHERE src = {a} INTERSECT SELECT entity_id FROM rec WHERE src = {b})) AS s{a}_s{b}_overlap" for a, b in ((1, 2), (1, 3), (2, 3)))))
     q["check_truth"] = (lambda s, d: contract.truth(decision.listed(_ids(s, d), truth(s, d), "matched_entity_ids"), records(s, d).where("src = 1"), records(s, d).where("src <> 1")), None)
     q["check_output"] = (_output_faults, None)
     q["owners"] = (lambda s, d: contract.owners(decision.accepted(scored(s, d), AT)), sql(f"SELECT {C}, count(DISTINCT {S1}) AS owners FROM scored WHERE score >= 0.5 GROUP BY 1 HAVING count(DISTINCT {S1}) > 1", LINKED))

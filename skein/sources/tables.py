@@ -20,8 +20,13 @@ def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...] = RECORD)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    """One header for each part, never quoted, empty fields bare."""
-    df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
+    """One header for each part, never quoted, empty fields bare, blanks at the ends of fields kept."""
+    df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_single_tsv(df: DataFrame, path: str, key: str) -> None:
+    """One file with one header, by key: for lists that are handed on as a file. It is written by a single task."""
+    df.repartitionByRange(1, key).sortWithinPartitions(key).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
