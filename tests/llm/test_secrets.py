@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -94,3 +95,20 @@ def test_words_of_the_corpus_lower_the_cost(spark):
     texts = spark.createDataFrame([(1, "password: hunter22 x", None, 0), (2, None, "a", 0)], "doc_id long, text string, lang string, n_chars long")
     got = {x.doc_id: x for x in S.redact(texts).collect()}
     assert got[1].text == "password: [secret] x" and got[1].n_chars == len(got[1].text) and got[2].text is None
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 40, 65, 10_000])
+def test_most_frequent_words_at_any_cut(spark, most):
+    """Ties at the cut, within and across the classes of counts, go by the word; nulls and empty texts count nothing."""
+    r = random.Random(5)
+    words = [a + b + "zz" for a in "abcdefgh" for b in "ijklmnop"]
+    texts = [" ".join(r.choices(words, weights=[1 + i * i % 60 for i in range(64)], k=r.randint(1, 60))) for _ in range(80)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "once Onlyhere", None, ""]], "text string").repartition(5)
+    n = Counter(w for t in texts for w in t.split())
+    assert len(set(n.values())) < len(n)  # ties there are
+    expected = sorted((w for w in n if n[w] > 1), key=lambda w: (-n[w], w))[:most]
+    assert S.corpus_ranks(df, most) == S.ranks_of([*S.WORDS, *expected])
+
+
+def test_no_words_to_rank(spark):
+    assert S.corpus_ranks(spark.createDataFrame([], "text string")) == S.ranks_of()
