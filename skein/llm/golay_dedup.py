@@ -38,6 +38,8 @@ STEP = 1 << 15
 TABLES, PLAIN, WIDTH, SIMILAR, APART = 8, 16, 5, 0.8, 18
 #: Rows of one key that are looked at together, and neighbours by order that a row is compared with.
 BLOCK, BESIDE = 1 << 15, 8
+#: A share of 1 / HOT of all ends of pairs makes an id hot.
+HOT = 1000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -323,10 +325,25 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
+def dealt(ends: DataFrame, texts: DataFrame) -> DataFrame:
+    """ends(id, a, b) with the text of each id. No task gets all ends of an id that many have.
+
+    Ids with a share of 1 / HOT of the ends or more, HOT at most, are dealt over as many slots as they have such
+    shares; their texts are copied to each slot, 2 * HOT copies at most in all.
+    """
+    least = ends.count() // HOT + 1
+    sizes = ends.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    hot = F.broadcast(sizes.select("id", F.ceil(F.col("n") / least).cast("int").alias("slots")))
+    slots = F.coalesce("slots", F.lit(1))
+    asked = ends.join(hot, "id", "left").select("id", "a", "b", F.pmod(F.xxhash64("a", "b"), slots).cast("int").alias("slot"))
+    copies = texts.join(hot, "id", "left").select("id", "text", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
+    return copies.join(asked.hint("merge"), ["id", "slot"]).select("id", "a", "b", "text")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts(id, text) are similar by their shingles."""
+    """The pairs (a, b) whose texts(id, text) are similar by their shingles; pairs is read several times."""
     ends = pairs.select(F.col("a").alias("id"), "a", "b").union(pairs.select(F.col("b").alias("id"), "a", "b"))
-    sides = texts.join(ends.hint("merge"), "id").groupBy("a", "b")
+    sides = dealt(ends, texts).groupBy("a", "b")
     both = sides.agg(F.max(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("ta"), F.max(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("tb"))
 
     def run(batches):
@@ -373,18 +390,19 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     pairs = written(met(nodes.mapInArrow(post, "k long, id long, c long, d long")))
     ends = pairs.union(pairs.select("b", "a")).toDF("id", "other")
-    active = ends.groupBy("id").agg(F.count("*").alias("n"))
+    active = written(ends.groupBy("id").agg(F.count("*").alias("n")))
     texts = base.groupBy("id").agg(F.first("text").alias("text"))  # copies go before the shuffle
     texts = written(texts.join(active.select("id").hint("merge"), "id"))
     # First everyone with the partner that most others have too, then only what that left apart.
-    most = ends.join(active.toDF("other", "n"), "other").groupBy("id").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
-    first = written(verified(most.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), texts))
-    top = written(components(first))
-    rest = pairs.join(top.toDF("a", "ra"), "a", "left").join(top.toDF("b", "rb"), "b", "left")
-    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    most = by_key(ends, active.toDF("other", "n"), "other", "n").groupBy("id").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
+    most = written(most.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    first = written(verified(most, texts))
+    top = written(active.join(components(first).toDF("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n"))
+    rest = by_key(pairs, top.toDF("a", "ra", "n"), "a", "n").drop("n")
+    rest = written(by_key(rest, top.toDF("b", "rb", "n"), "b", "n").where("ra != rb").select("a", "b"))
     every = written(first.union(verified(rest, texts)))
     roots = components(every)
-    for done in (pairs, texts, first, top, every):
+    for done in (pairs, active, texts, most, first, top, rest, every):
         remove(done)
     least = own.groupBy("id").agg(F.min("doc_id").alias("least"))
     linked = least.join(roots.withColumnRenamed("node", "id"), "id")

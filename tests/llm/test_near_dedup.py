@@ -128,3 +128,13 @@ def test_stage_on_one_large_group(spark):
     rows = [(k, " ".join(edited(r, words, 3 if k != 77 else 0)), "en", "s", 1) for k in range(400)]
     got = G.first_of_each(spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "id")).collect()
     assert len(got) <= 8 and 0 in {x.doc_id for x in got}
+
+
+def test_partners_of_one_text_are_dealt_over_slots(spark, monkeypatch):
+    monkeypatch.setattr(G, "HOT", 4)
+    ends = spark.createDataFrame([(1, 1, b) for b in range(2, 202)] + [(7, 7, 8), (8, 7, 8), (5, 5, 9), (5, 5, 9)], "id long, a long, b long")
+    texts = spark.createDataFrame([(1, "hub"), (7, "x"), (8, None), (5, ""), (6, "alone")], "id long, text string")
+    got = sorted((x.id, x.a, x.b, x.text or "") for x in G.dealt(ends, texts).collect())
+    text = {1: "hub", 7: "x", 8: "", 5: ""}
+    assert got == sorted((x.id, x.a, x.b, text[x.id]) for x in ends.collect())
+    assert G.dealt(ends.limit(0), texts).count() == 0
