@@ -364,6 +364,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame) -> DataFrame:
     """(id, doc_id, first) for each distinct (text, doc_id) of docs: id the text's hash, first the class's least doc_id.
 
+    As text_classes() has it; rows without a doc_id are left out.
+    """
+    own = _with_id(docs).where("doc_id is not null").select("id", "doc_id").distinct()
+    return by_key(own, written(text_classes(docs).select("id", "first", "n")), "id", "n").select("id", "doc_id", "first")
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(id, least, first, n) for each text of docs: id its hash, least its least doc_id, first that of its class, n its rows.
+
     A class: texts connected by links of five-word similarity 0.8 or more, as the keys find and the shingles
     verify them. Texts are taken as equal by their 64-bit hash. Null texts count as empty; texts
     without a word are alike. Rows without a doc_id are left out.
@@ -404,12 +413,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     roots = components(every)
     for done in (pairs, active, texts, most, first, top, rest, every):
         remove(done)
-    least = own.groupBy("id").agg(F.min("doc_id").alias("least"))
+    least = own.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = least.join(roots.withColumnRenamed("node", "id"), "id")
     firsts = linked.groupBy("root").agg(F.min("least").alias("first"))
     named = linked.join(firsts, "root").select("id", "first")
-    side = least.join(named, "id", "left").select("id", F.coalesce("first", "least").alias("first"))
-    return own.select("id", "doc_id").distinct().join(side, "id")
+    return least.join(named, "id", "left").select("id", "least", F.coalesce("first", "least").alias("first"), "n")
 
 
 def _with_id(docs: DataFrame) -> DataFrame:
@@ -418,13 +426,13 @@ def _with_id(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """Of each class of near_classes() the row with the least doc_id; of repeated rows of that text and doc_id one.
+    """Of each class of text_classes() the row with the least doc_id; of repeated rows of that text and doc_id one.
 
     Rows without a doc_id can't be told apart: they all stay. Columns stay as they are. The texts move once for
     the comparison and once for the choice, however many there are.
     """
     i, d = unused(docs, "id", "doc")
-    kept = written(near_classes(docs).where("doc_id = first").select(F.col("id").alias(i), F.col("doc_id").alias(d)))
+    kept = written(text_classes(docs).where("least = first").select(F.col("id").alias(i), F.col("first").alias(d)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.where("doc_id is not null").withColumns({i: F.xxhash64(text), d: F.col("doc_id").cast("long")})
     out = named.dropDuplicates([i, d]).join(kept.hint("merge"), [i, d], "left_semi")

@@ -130,6 +130,16 @@ def test_stage_on_one_large_group(spark):
     assert len(got) <= 8 and 0 in {x.doc_id for x in got}
 
 
+def test_copies_of_one_text_are_one_class(spark):
+    r = random.Random(4)
+    words, alone = prose(r, 80), " ".join(prose(r, 80))
+    rows = [(9, alone)] + [(k, " ".join(words)) for k in range(100, 400)] + [(50, " ".join(edited(r, words, 1))), (100, " ".join(words)), (9, alone), (None, alone)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS)
+    got = {(x.doc_id, x.first) for x in G.near_classes(docs).collect()}
+    assert got == {(9, 9), (50, 50)} | {(k, 50) for k in range(100, 400)}
+    assert sorted(x.doc_id or 0 for x in G.first_of_each(docs).collect()) == [0, 9, 50]
+
+
 def test_partners_of_one_text_are_dealt_over_slots(spark, monkeypatch):
     monkeypatch.setattr(G, "HOT", 4)
     ends = spark.createDataFrame([(1, 1, b) for b in range(2, 202)] + [(7, 7, 8), (8, 7, 8), (5, 5, 9), (5, 5, 9)], "id long, a long, b long")
