@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.text import trigrams
+from skein.sources.tables import shared_dir
 
 S1, C = "source1_entity_id", "candidate_entity_id"
 
@@ -94,16 +95,29 @@ def training_set(pairs: DataFrame, per_positive: float = 2.0, seed: int = 42) ->
     return pairs.where("label = 1").unionByName(hard_negatives(pairs)).unionByName(drawn).dropDuplicates([S1, C])
 
 
-def fit(train: DataFrame, features: list[str], kind: str = "gbt", seed: int = 42):
-    """A model of the label; positives weigh what balances them. kind: 'gbt', or 'lr' as a baseline."""
-    n = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+def fit(train: DataFrame, features: list[str], kind: str = "gbt", seed: int = 42, held: str | None = None, rounds: int = 500, depth: int = 8, least: int = 100, rate: float = 0.05, gain: float = 0.01):
+    """A model of the label; positives weigh what balances them. kind: 'gbt', or 'lr' as a baseline.
+
+    held: a boolean column of the rows that trees are not grown from. Rounds end, at `rounds` at the latest, with the
+    first that lowers the loss on those rows by less than a share `gain`; without such rows all rounds are run.
+    Each tree has nodes of `least` rows or more. Lineage is cut in the shared folder every ten rounds.
+    """
+    own = F.lit(False) if held is None else F.col(held)
+    n = train.agg(F.count_if((F.col("label") == 1) & ~own), F.count_if((F.col("label") == 0) & ~own), F.count_if(own)).first()
     weight = max(1.0, n[1]) / max(1.0, n[0])
     rows = train.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
     if kind == "gbt":
-        own = GBTClassifier(labelCol="label", weightCol="weight", maxDepth=5, maxIter=20, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+        context = train.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(shared_dir(train.sparkSession))
+        trees = GBTClassifier(labelCol="label", weightCol="weight", maxDepth=depth, maxIter=rounds, stepSize=rate, minInstancesPerNode=least, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+        if n[2]:
+            trees = trees.setValidationIndicatorCol(held).setParams(validationTol=gain)
+        last = trees
     else:
-        own = LogisticRegression(labelCol="label", weightCol="weight", regParam=0.01)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), own]).fit(rows)
+        rows = rows.where(~own)
+        last = LogisticRegression(labelCol="label", weightCol="weight", regParam=0.01)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), last]).fit(rows)
 
 
 def scored(model, pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from skein.functions import similarity, text
 from skein.operators import blocking, contract, decision, features, profile, scoring
+from skein.plans import training
 from skein.plans.records import normal, records, truth
+from skein.sources.tables import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 S1, C = "source1_entity_id", "candidate_entity_id"
@@ -164,10 +166,35 @@ def _ids(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).where("src = 1").select(F.col("entity_id").alias(S1))
 
 
+def _labelled(spark: SparkSession, d: str, retrieve: Callable[[DataFrame], DataFrame] = _reduced) -> DataFrame:
+    """Pairs with label and every feature, written: the kernels run once, not for each pass of the fit."""
+    return scratch(features.labelled(features.costly(_pairs(spark, d, retrieve)), truth(spark, d)).drop(*[p + v for p in ("l_", "r_") for v in features.VIEWS]))
+
+
 def _trained(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    rows = features.labelled(features.costly(_pairs(spark, d)), truth(spark, d)).persist()  # the kernels run once, not for each pass of the fit
-    model = scoring.fit(scoring.training_set(rows), features.CHEAP + features.COSTLY, kind)
-    return scoring.scored(model, rows).select(S1, C, "label", F.round("score", 6).alias("score"))
+    rows = _labelled(spark, d)
+    linker = training.learned(rows, training.held_out(_ids(spark, d)), features.CHEAP + features.COSTLY, kind)
+    return linker.scored(rows).select(S1, C, "label", F.round("score", 6).alias("score"))
+
+
+def _tuned(spark: SparkSession, d: str) -> tuple[training.Linker, DataFrame, DataFrame]:
+    rows, parts = _labelled(spark, d, blocking.retrieve_v4), training.held_out(_ids(spark, d))
+    linker = training.learned(rows, parts, features.CHEAP + features.COSTLY)
+    return training.tuned(linker, rows, parts, truth(spark, d)), rows, parts
+
+
+def link_trained(spark: SparkSession, d: str) -> DataFrame:
+    """All channels, all features, trees with held-out records, the best threshold on those, one owner for each candidate.
+
+    It decides on all records of the table it learned from; link_trained_measures tells how it does on those held out.
+    """
+    linker, rows, parts = _tuned(spark, d)
+    return linker.decided(parts, rows)
+
+
+def link_trained_measures(spark: SparkSession, d: str) -> DataFrame:
+    linker, rows, parts = _tuned(spark, d)
+    return training.measured(linker, rows, parts, truth(spark, d))
 
 
 def link_end_to_end(spark: SparkSession, d: str, retrieve: Callable[[DataFrame], DataFrame] = blocking.retrieve_v4) -> DataFrame:
@@ -253,6 +280,8 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     )
     q["gbt_scores"] = (lambda s, d: _trained(s, d, "gbt"), None)
     q["lr_scores"] = (lambda s, d: _trained(s, d, "lr"), None)
+    q["link_trained"] = (link_trained, None)
+    q["link_trained_measures"] = (link_trained_measures, None)
     q["minhash_pairs"] = (lambda s, d: scoring.minhash_pairs(normal(s, d)), None)
     q["split"] = (lambda s, d: scoring.split(records(s, d).where("src = 1").select("entity_id")), None)
     q["decide"] = (

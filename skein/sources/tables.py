@@ -44,19 +44,24 @@ def write_once(df: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """df written to the shared folder in spark.checkpoint.dir and read back: computed once, safe from lost executors.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors see.
 
     Where none is set, a temporary folder serves, but only if all of Spark runs on this machine.
     """
-    spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/skein-{uuid.uuid4().hex}"
+    return top
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: computed once, safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

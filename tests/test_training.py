@@ -1,9 +1,11 @@
 """Models see string similarity, and names near in spelling alone are hard negatives."""
 
+import random
+
 import pytest
 
-from skein.operators import features, scoring
-from skein.plans import catalog
+from skein.operators import decision, features, scoring
+from skein.plans import catalog, training
 
 PAIRS = "source1_entity_id string, candidate_entity_id string, l_name_punct string, r_name_punct string, l_address_norm string, r_address_norm string, name_jaccard double, exact_address_match int, addr_jaccard double, num_channels int, label int"
 
@@ -22,9 +24,56 @@ def test_names_near_in_spelling_are_mined(spark):
 
 def test_models_train_on_every_feature(spark, monkeypatch):
     seen = {}
-    monkeypatch.setattr(catalog, "_pairs", lambda s, d: _pairs(s).drop("label"))
+    monkeypatch.setattr(catalog, "_pairs", lambda s, d, retrieve: _pairs(s).drop("label"))
+    monkeypatch.setattr(catalog, "_ids", lambda s, d: spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "source1_entity_id string"))
     monkeypatch.setattr(catalog, "truth", lambda s, d: spark.createDataFrame([("S1-3", "S2-3")], "source1_entity_id string, candidate_entity_id string"))
-    monkeypatch.setattr(scoring, "fit", lambda train, names, kind: seen.update(names=names, train={r.candidate_entity_id for r in train.collect()}))
+    monkeypatch.setattr(scoring, "fit", lambda train, names, kind, held: seen.update(names=names, train={r.candidate_entity_id for r in train.collect()}))
     monkeypatch.setattr(scoring, "scored", lambda model, rows: rows.withColumn("score", rows.name_jaccard))
     catalog._trained(spark, "", "gbt")
     assert set(features.COSTLY) <= set(seen["names"]) and "S2-1" in seen["train"]
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    """600 records with a true and a false candidate each; `x` tells them apart from 0.6 on, but for every twentieth."""
+    r, rows = random.Random(1), []
+    for k in range(600):
+        for j, label in ((0, 1), (1, 0)):
+            x = r.uniform(0.6, 1) if (label == 1) != (k % 20 == 0) else r.uniform(0, 0.55)
+            rows.append((f"S1-{k}", f"S2-{2 * k + j}", x, r.random(), x, 0, 0.0, 1, x, label))
+    pairs = spark.createDataFrame(rows, "source1_entity_id string, candidate_entity_id string, x double, noise double, name_jaccard double, exact_address_match int, addr_jaccard double, num_channels int, name_fuzz_ratio double, label int")
+    ids = pairs.select("source1_entity_id").distinct()
+    return pairs, training.held_out(ids), pairs.where("label = 1").select("source1_entity_id", "candidate_entity_id")
+
+
+def test_held_out_rows_end_the_rounds(spark, made):
+    pairs, parts, truth = made
+    rows = scoring.training_set(pairs.where("label >= 0")).join(parts, "source1_entity_id")
+    how = dict(depth=2, least=5, rate=0.5)
+    model = scoring.fit(rows, ["x", "noise"], held="validation", rounds=40, **how)
+    assert 1 <= len(model.stages[-1].trees) < 40
+    assert len(scoring.fit(rows.drop("validation"), ["x", "noise"], rounds=4, **how).stages[-1].trees) == 4
+    none = rows.withColumn("validation", rows.label < 0)
+    assert len(scoring.fit(none, ["x", "noise"], held="validation", rounds=4, **how).stages[-1].trees) == 4
+    assert scoring.importance(model, ["x", "noise"])[0][0] == "x"
+
+
+def test_linker_learns_tunes_decides_and_is_saved(spark, made, tmp_path):
+    pairs, parts, truth = made
+    assert parts.where("validation").count() == 120
+    linker = training.tuned(training.learned(pairs, parts, ["x", "noise"], "lr"), pairs, parts, truth)
+    got = training.measured(linker, pairs, parts, truth).first()
+    assert got.records == 120 and got.macro_f05 > 0.9 and got.threshold == linker.threshold
+    best = decision.sweep(parts.where("validation"), truth.join(parts.where("validation"), "source1_entity_id", "left_semi"), linker.scored(pairs.join(parts.where("validation"), "source1_entity_id", "left_semi")))
+    assert got.macro_f05 >= max(r.macro_f05 for r in best.collect())
+    linker.save(f"file://{tmp_path}/a")
+    linker.save(f"file://{tmp_path}/a")
+    again = training.Linker.load(spark, f"file://{tmp_path}/a")
+    assert (again.features, again.threshold) == (linker.features, linker.threshold)
+    assert sorted(again.decided(parts, pairs).collect()) == sorted(linker.decided(parts, pairs).collect())
+
+
+def test_without_held_out_records_the_threshold_stays(spark, made):
+    pairs, parts, truth = made
+    linker = training.Linker(None, [], 0.37)
+    assert training.tuned(linker, pairs, parts.withColumn("validation", parts.source1_entity_id == ""), truth).threshold == 0.37
