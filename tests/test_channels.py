@@ -98,3 +98,61 @@ def test_whole_link_has_every_channel(spark, monkeypatch):
     monkeypatch.setattr(catalog.decision, "accepted", lambda x, at: seen.setdefault("pairs", x).where("score >= 0"))
     catalog.link_end_to_end(spark, "")
     assert {(r[0], r[1]): r.channels for r in seen["pairs"].select(catalog.S1, catalog.C, "channels").collect()} == _brute(n.collect(), "v4")
+
+
+def _linked(spark, monkeypatch, rows):
+    raw = spark.createDataFrame(rows, "entity_id string, src int, business_name string, business_address string, country string")
+    n = text.normalised(raw)
+    monkeypatch.setattr(catalog, "normal", lambda s, d: n)
+    monkeypatch.setattr(catalog, "records", lambda s, d: raw)
+    return n
+
+
+def test_link_of_classes_is_that_of_records(spark, monkeypatch):
+    """Copies, some above a cap, empty names and addresses, ids that two rows share."""
+    words = "blue river foods trading bakery smith smyth optics north old mill a".split()
+    rows, k = [], 0
+    for i in range(60):
+        name = " ".join(words[(i * j + j) % len(words)] for j in range(1, 1 + i % 5))
+        for j in range(1 + i % 4):
+            k += 1
+            rows.append((f"S{k % 3 + 1}-{k}", k % 3 + 1, name.upper() if j % 2 else name, f"{i % 7} a st {10000 + i % 5}" if i % 9 else None, "US" if i % 11 else "fr"))
+    rows += [("S2-900", 2, "blue river foods", "1 a st 10001", "US"), ("S2-900", 2, "old mill optics", "1 a st 10001", "US"), ("S1-901", 1, "", "", ""), ("S3-902", 3, None, None, None)]
+    n = _linked(spark, monkeypatch, rows)
+    few = [blocking.Channel(c.name, c.keys, 4, c.explode, c.scope, c.rarest) for c in blocking.V4]
+    monkeypatch.setattr(catalog, "LINK", few)
+    for channels, retrieve in ((None, blocking.retrieve_v4), (few, catalog._reduced)):
+        scored = catalog.scored(spark, "", retrieve)
+        want = catalog.decision.listed(catalog._ids(spark, ""), catalog.decision.best_owner(catalog.decision.accepted(scored)), "matched_entity_ids")
+        got = catalog.link_end_to_end(spark, "", channels)
+        assert sorted(got.collect()) == sorted(want.collect())
+        assert got.where("matched_entity_ids <> ''").count() > 5
+
+
+def test_pairs_are_left_out_where_they_meet(spark, monkeypatch):
+    """The bound is never below the score, and Spark takes it to the joins of the keys."""
+    n = _linked(spark, monkeypatch, [(*r, "US") for r in ROWS])
+    own = blocking.classes(n)
+    views = lambda p, k, i, of: own.select(F.col("cls").alias(k), F.col(of).alias(i), *[F.col(v).alias(p + v) for v in catalog.features.VIEWS])
+    pairs = blocking.class_pairs(n, own).join(views("l_", "a", "x", "one"), "a").join(views("r_", "b", "y", "other"), "b")
+    scored = catalog.features.cheap(pairs).withColumn("score", catalog.features.rule_score())
+    assert scored.where("ceiling < score").count() == 0 and scored.count() > 5
+    plan = catalog.decision.accepted(scored)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in x and "bit_count" in x and "ch#" in x for x in plan.splitlines())
+
+
+def test_bits_leave_out_no_near_sets(spark):
+    words = [f"{a}{b} {c}" for a in ("river", "rover", "lake") for b in ("side", "bank", "s") for c in ("foods", "food co", "bakery limited", "x")]
+    rows = [(f"S{i % 3 + 1}-{i}", i % 3 + 1, w, "US") for i, w in enumerate(words)]
+    got = catalog.scoring.minhash_pairs(spark.createDataFrame(rows, "entity_id string, src int, name_punct string, country_norm string"), perms=192, rows=1)
+    j = lambda x, y: len(set(_grams(x)) & set(_grams(y))) / len(set(_grams(x)) | set(_grams(y)))
+    want = {(a[0], b[0]): round(j(a[2], b[2]), 6) for a in rows for b in rows if a[1] == 1 and b[1] != 1 and j(a[2], b[2]) >= 0.5}
+    assert {(r[0], r[1]): r.jaccard for r in got.collect()} == want and len(want) > 20
+
+
+def test_output_is_checked_without_linking_again(spark, monkeypatch):
+    _linked(spark, monkeypatch, [(*r, "US") for r in ROWS])
+    got = catalog._output_faults(spark, "")
+    assert "bit_count" not in got._jdf.queryExecution().optimizedPlan().toString()  # the lists are read, not made anew by each count
+    row = got.first()
+    assert (row.headers, row.missing_rows, row.extra_rows, row.unknown_ids, row.self_matches) == (1, 0, 0, 0, 0)
