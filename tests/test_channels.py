@@ -156,3 +156,21 @@ def test_output_is_checked_without_linking_again(spark, monkeypatch):
     assert "bit_count" not in got._jdf.queryExecution().optimizedPlan().toString()  # the lists are read, not made anew by each count
     row = got.first()
     assert (row.headers, row.missing_rows, row.extra_rows, row.unknown_ids, row.self_matches) == (1, 0, 0, 0, 0)
+
+
+def _expanded(pairs, members):
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.class_id, set()).add(r.entity_id)
+    return {(a, b, *r[2:]) for r in pairs.collect() for a in of[r[0]] for b in of[r[1]]}
+
+
+def test_pairs_of_classes_with_their_members_are_all_pairs(spark, monkeypatch):
+    copies = [(f"{i[:3]}{i[3:]}{k}", src, name, addr) for k in range(4) for i, src, name, addr in ROWS]
+    n = _linked(spark, monkeypatch, [(*r, "US") for r in copies])
+    query = lambda name: catalog.REGISTRY[name][0](spark, "")
+    want = {tuple(r) for r in blocking.retrieve_v4(n).withColumn("channels", F.array_join("channels", "|")).collect()}
+    got = query("retrieve_v4")
+    assert _expanded(got, query("retrieve_v4_members")) == want and got.count() < len(want) / 10
+    got, want = query("minhash_pairs"), {tuple(r) for r in catalog.scoring.minhash_pairs(n).collect()}
+    assert _expanded(got, query("minhash_members")) == want and got.count() < len(want) / 10
