@@ -38,6 +38,8 @@ STEP = 1 << 15
 TABLES, PLAIN, WIDTH, SIMILAR, APART = 8, 16, 5, 0.8, 18
 #: Rows of one key that are looked at together, and neighbours by order that a row is compared with.
 BLOCK, BESIDE = 1 << 15, 8
+#: Keys with more rows are looked at one by one, in steps, when their rows are compared in full.
+FEW = 32
 #: A share of 1 / HOT of all ends of pairs makes an id hot.
 HOT = 1000
 
@@ -245,7 +247,8 @@ def pairs_of(key: np.ndarray, ids: np.ndarray, check: np.ndarray) -> tuple[np.nd
     The middle is the row nearest to the majority of the check bits: where copies differ from one original
     in different places, the original. Rows that differ from it in over APART bits have a middle of their own,
     and so on; once one has no row near it, those left are compared with the BESIDE before them in order.
-    So a row is in one pair for each of its keys, however many rows a key has.
+    So a row is in one pair for each of its keys, however many rows a key has. Near rows that this leaves unconnected
+    are compared afterwards, each with each: unmet().
     """
     a, b = [np.zeros(0, ids.dtype)], [np.zeros(0, ids.dtype)]
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
@@ -278,6 +281,57 @@ def pairs_of(key: np.ndarray, ids: np.ndarray, check: np.ndarray) -> tuple[np.nd
     return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
 
 
+def apart_of(key: np.ndarray, ids: np.ndarray, check: np.ndarray, root: np.ndarray):
+    """(a, b) in parts: all pairs of rows with the same key, of rows in order of it, that are near and have different roots."""
+
+    def take(i, j):
+        hit = (root[i] != root[j]) & (ids[i] != ids[j])
+        i, j = i[hit], j[hit]
+        hit = _apart(check[i], check[j]) <= APART
+        one, two = ids[i[hit]], ids[j[hit]]
+        return np.minimum(one, two), np.maximum(one, two)
+
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    size = np.diff(cut)
+    end = np.repeat(cut[1:], size)
+    few = np.flatnonzero(np.repeat(size <= FEW, size))
+    for lag in range(1, FEW):
+        few = few[few + lag < end[few]]
+        if not len(few):
+            break
+        yield take(few, few + lag)
+    for s, e in zip(cut[:-1][size > FEW].tolist(), cut[1:][size > FEW].tolist()):
+        if (root[s:e] == root[s]).all():
+            continue
+        step = max(1, STEP // (e - s))
+        for i in range(s, e, step):
+            x, y = np.meshgrid(np.arange(i, min(i + step, e)), np.arange(i, e), indexing="ij")
+            later = y > x
+            yield take(x[later], y[later])
+
+
+def unmet(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of ids that apart_of() finds in keyed(k, id, c, d, root): what met() left out of keys whose rows it did not connect."""
+    open_ = keyed.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
+
+    def run(batches):
+        held = []
+        for b in _and_last(batches):
+            if b is not None and b.num_rows:
+                held.append([np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(5)])
+            if not held or (b is not None and (not b.num_rows or held[0][0][0] == held[-1][0][-1])):
+                continue  # one key so far
+            rows = [np.concatenate(x) for x in zip(*held)]
+            end = len(rows[0]) if b is None else int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [[x[end:] for x in rows]] if b is not None else []
+            for a, z in apart_of(rows[0][:end], rows[1][:end], np.stack(rows[2:4], 1)[:end].view(np.uint64), rows[4][:end]):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
+
+    ordered = keyed.join(open_, "k", "left_semi").select("k", "id", "c", "d", "root").repartition("k").sortWithinPartitions("k")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
 def met(keyed: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of ids that pairs_of() finds in keyed(k, id, c, d); a key over BLOCK rows is looked at by blocks."""
 
@@ -395,7 +449,9 @@ def text_classes(docs: DataFrame) -> DataFrame:
                 s = np.frombuffer(b"".join(b.column("s").to_pylist()), np.uint64).reshape(-1, TABLES)
                 row, k, check = postings(s)
                 cols = [pa.array(k), b.column("id").take(pa.array(row)), *map(pa.array, check.view(np.int64).T)]
-                yield pa.RecordBatch.from_arrays(cols, ["k", "id", "c", "d"])
+                if "root" in b.schema.names:
+                    cols.append(b.column("root").take(pa.array(row)))
+                yield pa.RecordBatch.from_arrays(cols, ["k", "id", "c", "d", "root"][: len(cols)])
 
     pairs = written(met(nodes.mapInArrow(post, "k long, id long, c long, d long")))
     ends = pairs.union(pairs.select("b", "a")).toDF("id", "other")
@@ -410,8 +466,14 @@ def text_classes(docs: DataFrame) -> DataFrame:
     rest = by_key(pairs, top.toDF("a", "ra", "n"), "a", "n").drop("n")
     rest = written(by_key(rest, top.toDF("b", "rb", "n"), "b", "n").where("ra != rb").select("a", "b"))
     every = written(first.union(verified(rest, texts)))
-    roots = components(every)
-    for done in (pairs, active, texts, most, first, top, rest, every):
+    # What is still apart: all near pairs of a key, whatever its middle is.
+    sides = nodes.join(components(every).toDF("id", "root"), "id", "left").select("id", "s", F.coalesce("root", "id").alias("root"))
+    last = written(unmet(sides.mapInArrow(post, "k long, id long, c long, d long, root long")))
+    lasting = last.select(F.col("a").alias("id")).union(last.select(F.col("b").alias("id"))).distinct()
+    others = written(base.groupBy("id").agg(F.first("text").alias("text")).join(lasting.hint("merge"), "id"))
+    whole = written(every.union(verified(last, others)))
+    roots = components(whole)
+    for done in (pairs, active, texts, most, first, top, rest, every, last, others, whole):
         remove(done)
     least = own.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = least.join(roots.withColumnRenamed("node", "id"), "id")

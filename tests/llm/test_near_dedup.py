@@ -148,3 +148,22 @@ def test_partners_of_one_text_are_dealt_over_slots(spark, monkeypatch):
     text = {1: "hub", 7: "x", 8: "", 5: ""}
     assert got == sorted((x.id, x.a, x.b, text[x.id]) for x in ends.collect())
     assert G.dealt(ends.limit(0), texts).count() == 0
+
+
+def test_rows_of_a_key_that_the_middle_left_apart_are_all_compared(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    for few in (32, 3):
+        monkeypatch.setattr(G, "FEW", few)
+        n = 90
+        check = r.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+        for i in range(0, n - 30, 2):  # a partner 30 places on, too far for those beside
+            check[i + 30] = check[i] ^ np.array([0b1011, 1 << 40], np.uint64)
+        key = np.sort(r.choice([5, 7, 7, 7, 9], n))
+        ids, root = np.arange(100, 100 + n), np.arange(n) // 2
+        near = lambda i, j: sum(int(x ^ y).bit_count() for x, y in zip(check[i].tolist(), check[j].tolist())) <= G.APART
+        want = {(100 + i, 100 + j) for j in range(n) for i in range(j) if key[i] == key[j] and root[i] != root[j] and near(i, j)}
+        assert {p for a, b in G.apart_of(key, ids, check, root) for p in zip(a.tolist(), b.tolist())} == want and len(want) > 5
+        assert not want <= set(zip(*(x.tolist() for x in G.pairs_of(key, ids, check))))
+    assert not list(G.apart_of(key[:0], ids[:0], check[:0], root[:0]))
