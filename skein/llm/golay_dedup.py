@@ -42,6 +42,10 @@ BLOCK, BESIDE = 1 << 15, 8
 FEW = 32
 #: A share of 1 / HOT of all ends of pairs makes an id hot.
 HOT = 1000
+#: Rows and bytes of text that are compared in full at a time, about; and columns of their matrix.
+TILE, TILE_BYTES, COLUMNS = 1 << 11, 1 << 25, 1 << 11
+#: Pairs that are held before they are brought down to edges.
+PAIRS = 1 << 20
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -248,7 +252,7 @@ def pairs_of(key: np.ndarray, ids: np.ndarray, check: np.ndarray) -> tuple[np.nd
     in different places, the original. Rows that differ from it in over APART bits have a middle of their own,
     and so on; once one has no row near it, those left are compared with the BESIDE before them in order.
     So a row is in one pair for each of its keys, however many rows a key has. Near rows that this leaves unconnected
-    are compared afterwards, each with each: unmet().
+    are compared afterwards, each with each: unmet(), alike_in().
     """
     a, b = [np.zeros(0, ids.dtype)], [np.zeros(0, ids.dtype)]
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
@@ -310,8 +314,28 @@ def apart_of(key: np.ndarray, ids: np.ndarray, check: np.ndarray, root: np.ndarr
             yield take(x[later], y[later])
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, least id) that connect what the edges (a, b) connect, one for each id but the least."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    up = np.arange(len(ids))
+    while True:
+        low = up.copy()
+        least = np.minimum(up[a], up[b])
+        for x in (a, b, up[a], up[b]):
+            np.minimum.at(low, x, least)
+        low = low[low]
+        if (low == up).all():
+            own = up != np.arange(len(ids))
+            return ids[own], ids[up[own]]
+        up = low
+
+
 def unmet(keyed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of ids that apart_of() finds in keyed(k, id, c, d, root): what met() left out of keys whose rows it did not connect."""
+    """Edges (a, b) of ids that connect, key by key, the pairs that apart_of() finds in keyed(k, id, c, d, root): what met() left out of keys whose rows it did not connect.
+
+    A key gives one edge at most for each of its rows, however many pairs they make.
+    """
     open_ = keyed.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
 
     def run(batches):
@@ -324,9 +348,14 @@ def unmet(keyed: DataFrame) -> DataFrame:
             rows = [np.concatenate(x) for x in zip(*held)]
             end = len(rows[0]) if b is None else int(np.searchsorted(rows[0], rows[0][-1]))
             held = [[x[end:] for x in rows]] if b is not None else []
-            for a, z in apart_of(rows[0][:end], rows[1][:end], np.stack(rows[2:4], 1)[:end].view(np.uint64), rows[4][:end]):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
+            found = [(rows[1][:0], rows[1][:0])]
+            for part in apart_of(rows[0][:end], rows[1][:end], np.stack(rows[2:4], 1)[:end].view(np.uint64), rows[4][:end]):
+                found.append(part)
+                if sum(len(a) for a, _ in found[1:]) > PAIRS:
+                    found = [forest(*map(np.concatenate, zip(*found)))]
+            a, z = forest(*map(np.concatenate, zip(*found)))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
 
     ordered = keyed.join(open_, "k", "left_semi").select("k", "id", "c", "d", "root").repartition("k").sortWithinPartitions("k")
     return ordered.mapInArrow(run, "a long, b long").distinct()
@@ -415,6 +444,83 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def alike(ids: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of ids that connect all pairs of similar() sets with different roots, each compared with each.
+
+    A set of which under SIMILAR occurs in others has no partner, so it goes first, and so on. The common elements of the
+    rest are counted by a product of 0-1 matrices; elements of few sets, pair by pair. Rows of the most frequent
+    root are not compared with each other.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    void = np.flatnonzero(size == 0)
+    row = np.repeat(np.arange(len(sets)), size)
+    item = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1]
+    live = size > 0
+    while True:
+        here = live[row]
+        row, item = row[here], item[here]
+        here = np.bincount(item, minlength=1)[item] > 1
+        now = live & (np.bincount(row[here], minlength=len(sets)) >= SIMILAR * size)
+        if (now == live).all():
+            break
+        live = now
+    row, item = row[here], item[here]
+    rows = np.flatnonzero(live)
+    kinds, kind, times = np.unique(root[rows], return_inverse=True, return_counts=True)
+    left = np.flatnonzero(kind != times.argmax()) if len(rows) else rows
+    a, b = [ids[void[1:]]], [ids[void[:-1]]]
+    if len(left):
+        place, mine = np.full(len(sets), -1), np.full(len(rows), -1)
+        place[rows], mine[left] = np.arange(len(rows)), np.arange(len(left))
+        df = np.bincount(item)
+        order = np.lexsort((item, df[item] > FEW))
+        row, item = place[row[order]], item[order]
+        few = int(np.count_nonzero(df[item] <= FEW))
+        both = np.zeros((len(left), len(rows)), np.float32)
+        at = np.arange(few)
+        for lag in range(1, FEW):
+            at = at[at + lag < few]
+            at = at[item[at] == item[at + lag]]
+            if not len(at):
+                break
+            for i, j in ((row[at], row[at + lag]), (row[at + lag], row[at])):
+                own = mine[i] >= 0
+                np.add.at(both, (mine[i[own]], j[own]), np.float32(1))
+        row, item = row[few:], np.cumsum(np.r_[0, item[few + 1 :] != item[few:-1]])[: len(item) - few]
+        for at in range(0, int(item[-1]) + 1 if len(item) else 0, COLUMNS):
+            s, e = np.searchsorted(item, [at, at + COLUMNS])
+            x = np.zeros((len(rows), COLUMNS), np.float32)
+            x[row[s:e], item[s:e] - at] = 1
+            both += x[left] @ x.T
+        n, m = size[rows[left]][:, None], size[rows][None]
+        hit = (np.minimum(n, m) >= SIMILAR * np.maximum(n, m)) & (both >= SIMILAR * (n + m - both.astype(np.float64))) & (kind[left][:, None] != kind[None])
+        i, j = np.nonzero(hit)
+        a.append(ids[rows[left[i]]])
+        b.append(ids[rows[j]])
+    return forest(np.concatenate(a), np.concatenate(b))
+
+
+def alike_in(groups: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all similar texts with different roots within each part of groups(part, id, root, text).
+
+    A part with over TILE rows or TILE_BYTES of text is cut into slots, of which each two are compared in one task.
+    """
+    sizes = groups.groupBy("part").agg(F.greatest(F.count("*") / TILE, F.sum(F.octet_length("text")) / TILE_BYTES).alias("tiles"))
+    sizes = sizes.where("tiles > 1").select("part", F.ceil(2 * F.col("tiles")).cast("int").alias("slots"))
+    slot = F.pmod(F.xxhash64("id"), F.coalesce("slots", F.lit(1))).cast("int")
+    cut = groups.join(F.broadcast(sizes), "part", "left").withColumn("slot", slot)
+    others = F.when(F.col("slots").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("slots") - 1), lambda x: x != F.col("slot")))
+    tiles = cut.select("part", "id", "root", "text", "slot", F.explode(others).alias("other"))
+    tiles = tiles.select("part", F.least("slot", "other").alias("x"), F.greatest("slot", "other").alias("y"), "id", "root", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        sets = [shingles(x.as_py()) for x in t.column("text")]
+        a, b = alike(t.column("id").to_numpy(), t.column("root").to_numpy(), sets)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tiles.groupBy("part", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(id, doc_id, first) for each distinct (text, doc_id) of docs: id the text's hash, first the class's least doc_id.
 
@@ -466,14 +572,14 @@ def text_classes(docs: DataFrame) -> DataFrame:
     rest = by_key(pairs, top.toDF("a", "ra", "n"), "a", "n").drop("n")
     rest = written(by_key(rest, top.toDF("b", "rb", "n"), "b", "n").where("ra != rb").select("a", "b"))
     every = written(first.union(verified(rest, texts)))
-    # What is still apart: all near pairs of a key, whatever its middle is.
+    # What is still apart: texts that near pairs of a key connect, whatever its middle is, each with each.
     sides = nodes.join(components(every).toDF("id", "root"), "id", "left").select("id", "s", F.coalesce("root", "id").alias("root"))
     last = written(unmet(sides.mapInArrow(post, "k long, id long, c long, d long, root long")))
-    lasting = last.select(F.col("a").alias("id")).union(last.select(F.col("b").alias("id"))).distinct()
-    others = written(base.groupBy("id").agg(F.first("text").alias("text")).join(lasting.hint("merge"), "id"))
-    whole = written(every.union(verified(last, others)))
+    parts = written(components(last).toDF("id", "part").join(sides.select("id", "root").hint("merge"), "id"))
+    others = written(base.groupBy("id").agg(F.first("text").alias("text")).join(parts.hint("merge"), "id"))
+    whole = written(every.union(alike_in(others)))
     roots = components(whole)
-    for done in (pairs, active, texts, most, first, top, rest, every, last, others, whole):
+    for done in (pairs, active, texts, most, first, top, rest, every, last, parts, others, whole):
         remove(done)
     least = own.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = least.join(roots.withColumnRenamed("node", "id"), "id")

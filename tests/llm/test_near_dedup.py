@@ -167,3 +167,46 @@ def test_rows_of_a_key_that_the_middle_left_apart_are_all_compared(monkeypatch):
         assert {p for a, b in G.apart_of(key, ids, check, root) for p in zip(a.tolist(), b.tolist())} == want and len(want) > 5
         assert not want <= set(zip(*(x.tolist() for x in G.pairs_of(key, ids, check))))
     assert not list(G.apart_of(key[:0], ids[:0], check[:0], root[:0]))
+
+
+def test_near_rows_of_a_large_key_make_an_edge_for_each_row(spark):
+    """All of 300 rows of a key are near each other and apart by root: an edge for each, not one for each pair."""
+    keyed = spark.createDataFrame([(k, 1000 * k + i, i % 16, 0, i) for k in (1, 2) for i in range(300)], "k long, id long, c long, d long, root long")
+    got = [(x.a, x.b) for x in G.unmet(keyed).collect()]
+    assert len(got) == 598
+    assert set(roots([1000 * k + i for k in (1, 2) for i in range(300)], got).values()) == {1000, 2000}
+
+
+def test_parts_are_compared_in_full_in_tiles(spark, monkeypatch):
+    r = random.Random(9)
+    words = [prose(r, 120), prose(r, 120)]
+    texts = [" ".join(edited(r, words[i % 2], i % 7)) for i in range(90)] + ["", " "]
+    rows = [(i % 2, 50 + 3 * i, i // 2 % 5, t) for i, t in enumerate(texts)]
+    near = [(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and G.similar(G.shingles(a[3]), G.shingles(b[3]))]
+    want = roots([x[1] for x in rows], near)
+    assert 10 < len(set(want.values())) < 80
+    groups = spark.createDataFrame(rows, "part long, id long, root long, text string")
+    for tile in (1 << 11, 20, 9):
+        monkeypatch.setattr(G, "TILE", tile)
+        found = [(x.a, x.b) for x in G.alike_in(groups).collect()]
+        assert roots([x[1] for x in rows], found) == want
+    assert G.alike_in(groups.limit(0)).count() == 0
+
+
+def test_sets_that_are_alike_against_brute_force(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    for few, columns in ((32, 2048), (2, 3), (1, 7)):
+        monkeypatch.setattr(G, "FEW", few)
+        monkeypatch.setattr(G, "COLUMNS", columns)
+        for _ in range(10):
+            base, sets = r.integers(0, 1 << 40, (3, 20), dtype=np.uint64), []
+            for _ in range(25):
+                x, n = base[r.integers(3)].copy(), r.integers(0, 4)
+                x[r.integers(0, 20, n)] = r.integers(0, 1 << 40, n, dtype=np.uint64)
+                sets.append(np.unique(x[: r.integers(16, 21)]))
+            ids, root = r.permutation(100)[:25], r.integers(0, 4, 25)
+            want = [(ids[i], ids[j]) for i in range(25) for j in range(i) if root[i] != root[j] and G.similar(sets[i], sets[j])]
+            got = list(zip(*G.alike(ids, root, sets)))
+            assert len(got) < 25 and roots(ids, got) == roots(ids, want) and want
