@@ -22,6 +22,23 @@ def test_names_near_in_spelling_are_mined(spark):
         scoring.hard_negatives(_pairs(spark)).collect()
 
 
+def test_training_pairs_are_chosen_in_one_pass(spark):
+    own = _pairs(spark).unionByName(spark.createDataFrame([("S1-4", "S2-4", "x", "y", "1 a", "2 b", None, 0, 0.0, 1, 0), ("S1-5", "S2-5", "x", "y", "1 a", "2 b", None, 1, 0.0, 1, 0)], PAIRS))
+    got = scoring.training_set(features.costly(own), per_positive=0)
+    assert sorted(r.candidate_entity_id for r in got.collect()) == ["S2-1", "S2-3", "S2-5"]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert scoring.training_set(features.costly(own), per_positive=9).count() == 5
+
+
+def test_models_without_rounds_learn_from_no_held_out_pair(spark, made, monkeypatch):
+    pairs, parts, _ = made
+    seen = {}
+    monkeypatch.setattr(scoring, "fit", lambda train, names, kind, held: seen.update({kind: train.where(held).count()}))
+    for kind in ("lr", "gbt"):
+        training.learned(pairs, parts, ["x", "noise"], kind)
+    assert seen == {"lr": 0, "gbt": 240}
+
+
 def test_models_train_on_every_feature(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(catalog, "_pairs", lambda s, d, retrieve: _pairs(s).drop("label"))
