@@ -30,6 +30,17 @@ def test_training_pairs_are_chosen_in_one_pass(spark):
     assert scoring.training_set(features.costly(own), per_positive=9).count() == 5
 
 
+def test_labelled_pairs_are_told_by_classes(spark, monkeypatch):
+    d, told = "/root/testdata/sf0.001", []
+    costly = features.costly
+    monkeypatch.setattr(features, "costly", lambda pairs: told.append(pairs.count()) or costly(pairs))
+    got = catalog._labelled(spark, d)
+    rows = got.count()
+    assert told[0] < rows
+    plain = features.labelled(costly(catalog._pairs(spark, d)), catalog.truth(spark, d)).select(got.columns)
+    assert rows == plain.count() and got.exceptAll(plain).count() == 0
+
+
 def test_models_without_rounds_learn_from_no_held_out_pair(spark, made, monkeypatch):
     pairs, parts, _ = made
     seen = {}
