@@ -174,3 +174,27 @@ def test_pairs_of_classes_with_their_members_are_all_pairs(spark, monkeypatch):
     assert _expanded(got, query("retrieve_v4_members")) == want and got.count() < len(want) / 10
     got, want = query("minhash_pairs"), {tuple(r) for r in catalog.scoring.minhash_pairs(n).collect()}
     assert _expanded(got, query("minhash_members")) == want and got.count() < len(want) / 10
+
+
+def test_links_of_many_addresses_and_of_own_classes(spark, monkeypatch):
+    """Names with many addresses, classes with records on both sides beside others that tie with them, as all pairs of records give."""
+    rows, k = [], 0
+    for i, name in enumerate(["blue river foods", "river blue foods", "blue river foods ltd", "old mill optics", "mill old optics", "smith", "smyth", ""]):
+        for j in range(1 + 5 * (i % 3)):
+            for src in (1, 2, 3)[: 1 + (i + j) % 3] if j % 2 else (3, 1):
+                k += 1
+                rows.append((f"S{src}-{k}", src, name, f"{j % 4} a st {10000 + i % 2}" if j % 5 else f"{10000 + i % 2} a {j % 4} st", "US"))
+    _linked(spark, monkeypatch, rows)
+    scored = catalog.scored(spark, "", blocking.retrieve_v4)
+    want = catalog.decision.listed(catalog._ids(spark, ""), catalog.decision.best_owner(catalog.decision.accepted(scored)), "matched_entity_ids")
+    assert sorted(catalog.link_end_to_end(spark, "").collect()) == sorted(want.collect())
+
+
+def test_own_classes_are_compared_with_no_others(spark, monkeypatch):
+    """A class with records on both sides isn't compared with those that score less."""
+    rows = [(f"S{s}-{s * 100 + i}", s, "blue river foods", f"{i} a st {10000 + i}", "US") for s in (1, 2) for i in range(20)]
+    _linked(spark, monkeypatch, rows)
+    seen = {}
+    monkeypatch.setattr(catalog.decision, "accepted", lambda x, at: seen.setdefault("pairs", x.where("score >= 0.5")))
+    catalog.link_end_to_end(spark, "")
+    assert seen["pairs"].count() == 20
